@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, token_counts
+from . import byte_bpe, packing, token_counts
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -35,3 +35,18 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.bpe_digests(
         table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     )
+
+
+#: The end id of op7's documents, and the strings that its tokenizer file reads as ids.
+END_ID = 1
+SPECIAL = {"<|endoftext|>": 50256}
+
+
+def packed(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """The documents in windows; the rank file holds the vocabulary of byte_bpe_50k.json."""
+    return packing.pack(spark, docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, END_ID, SPECIAL)
+
+
+@query("op7_packing")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(spark, table(spark, sf_dir, "documents"))
