@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, packing, token_counts
+from . import byte_bpe, jaccard_join, packing, token_counts
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -50,3 +50,8 @@ def packed(spark: SparkSession, docs: DataFrame) -> DataFrame:
 @query("op7_packing")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(spark, table(spark, sf_dir, "documents"))
+
+
+@query("op2_jaccard_join")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_join(spark, table(spark, sf_dir, "documents"))
