@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, jaccard_join, packing, token_counts
+from . import ann, byte_bpe, jaccard_join, packing, token_counts, topk
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -55,3 +55,32 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_jaccard_join")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_join(spark, table(spark, sf_dir, "documents"))
+
+
+@query("op4_nearest")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(spark, table(spark, sf_dir, "embeddings"))
+
+
+@query(
+    "op5_exact_top_k",
+    """
+    WITH v AS (
+      SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS vec
+      FROM embeddings
+      WHERE vec_id IS NOT NULL AND len(embedding) > 0
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    ), scored AS (
+      SELECT q.vec_id AS query_id, c.vec_id,
+             list_sum(list_transform(generate_series(1, len(q.vec)), lambda i: q.vec[i] * c.vec[i])) AS score
+      FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.vec) = len(c.vec)
+      WHERE q.vec_id % 20 = 0
+    )
+    SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+           vec_id, CAST(score AS BIGINT) AS score
+    FROM scored
+    QUALIFY rank <= 20
+    """,
+)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.exact_top_k(spark, table(spark, sf_dir, "embeddings"))
