@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, byte_bpe, jaccard_join, packing, token_counts, topk
+from . import ann, byte_bpe, jaccard_join, packing, quality, token_counts, topk, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -84,3 +84,13 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_top_k(spark, table(spark, sf_dir, "embeddings"))
+
+
+@query("op6_quality")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op9_toxicity")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "score", "toxic")
