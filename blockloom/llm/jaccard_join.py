@@ -109,7 +109,7 @@ def shingle_sets(docs: DataFrame, n: int = SHINGLE_WORDS, text_col: str = "text"
             yield pa.RecordBatch.from_arrays(arrays + batch.columns[1:], names=["rid", "k1", "k2", "n", "sketch", "grams", *keep])
 
     kinds = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    rows = only(docs, text_col, *keep).withColumnRenamed(text_col, "text") if text_col != "text" else only(docs, "text", *keep)
+    rows = docs.select(F.col(f"`{text_col}`").alias("text"), *[F.col(f"`{c}`").alias(f"kept{i}") for i, c in enumerate(keep)])
     return rows.mapInArrow(run, f"rid bigint, k1 bigint, k2 bigint, n bigint, sketch binary, grams binary{kinds}")
 
 
@@ -293,30 +293,17 @@ def components(stage: Stage, edges: DataFrame, rounds: int = 50) -> DataFrame:
     return edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least"))
 
 
-def jaccard_join(
-    spark: SparkSession, docs: DataFrame, threshold: float = NEAR, n: int = SHINGLE_WORDS, recall: float = TARGET_RECALL,
-    id_col: str = "doc_id", text_col: str = "text",
-) -> DataFrame:
-    """Near copies among all texts: ``doc_id, class_id, n_links``, one row per input row.
-
-    Rows are linked if the Jaccard similarity of their sets of word shingles
-    (n words, lower case) is at least ``threshold``; equal sets are linked
-    whatever their number. ``class_id`` is the least ``doc_id`` of the
-    connected rows and ``n_links`` the number of other rows linked with the
-    row. Found links are exact; a pair at the very threshold is found with
-    about the target recall, nearer ones almost surely.
+def _joined(stage: Stage, docs: DataFrame, threshold: float, n: int, recall: float, text_col: str, keep: list[str]) -> tuple[DataFrame, DataFrame]:
+    """All rows (``rid, k1, k2, n`` and the kept columns), and the representatives (``k1, k2, rid, copies, linked, root, least``).
 
-    Texts of fewer than n words are one shingle. Null texts and texts without
-    words have no links and are classes of their own. A null id takes part and
-    stays null. Repeated rows are linked to one another. An empty table gives
-    none; other columns are ignored.
+    ``root`` is the least representative of the connected ones, ``linked`` the
+    number of rows of other sets that the set is linked with.
     """
-    stage = Stage(spark, "jaccard")
-    sets = stage.put(shingle_sets(docs, n, text_col, [id_col]).withColumnRenamed(id_col, "doc_id"), "sets")
-    reps = sets.where("n > 0").groupBy("k1", "k2").agg(
-        F.min(F.struct("rid", "sketch")).alias("first"), F.count("*").alias("copies"), F.min("doc_id").alias("least_doc")
-    )
-    reps = stage.put(reps.select("k1", "k2", "first.rid", "first.sketch", "copies", "least_doc"), "reps")
+    sets = stage.put(shingle_sets(docs, n, text_col, keep), "sets")
+    first = F.min(F.struct("rid", "sketch")).alias("first")
+    least = F.min(keep[0]).alias("least") if keep else F.lit(None).alias("least")
+    reps = sets.where("n > 0").groupBy("k1", "k2").agg(first, F.count("*").alias("copies"), least)
+    reps = stage.put(reps.select("k1", "k2", "first.rid", "first.sketch", "copies", "least"), "reps")
     leaves = stage.put(_leaves(stage, reps, runs_for(threshold, recall)), "leaves")
 
     of_set = leaves.groupBy("rid").agg(F.sort_array(F.collect_set("leaf")).alias("leaves"))  # one for each run at most
@@ -333,15 +320,53 @@ def jaccard_join(
     tasks = tasks.repartition(*key).sortWithinPartitions(*key)
     links = stage.put(tasks.mapInArrow(lambda rows: _link(rows, threshold), "rid bigint, linked bigint, root bigint"), "links")
 
-    joined = components(stage, links.select(F.col("rid").alias("a"), F.col("root").alias("b")))
+    joined = components(stage, links.select(F.col("rid").alias("a"), F.col("root").alias("b"))).toDF("rid", "top")
     counts = links.groupBy("rid").agg(F.sum("linked").alias("linked"))
-    reps = (
-        reps.drop("sketch").join(counts, "rid", "left").join(joined.withColumnRenamed("node", "rid"), "rid", "left")
-        .withColumn("root", F.coalesce("least", "rid"))
-    )
-    names = reps.groupBy("root").agg(F.min("least_doc").alias("class_id"))
-    reps = reps.join(names, "root").select("k1", "k2", "class_id", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    narrow = sets.select("doc_id", "k1", "k2", "n")
-    out = narrow.where("n > 0").join(reps, ["k1", "k2"]).select("doc_id", "class_id", "n_links")
-    alone = narrow.where("n = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"))
+    reps = reps.drop("sketch").join(counts, "rid", "left").join(joined, "rid", "left")
+    reps = reps.withColumns({"root": F.coalesce("top", "rid"), "linked": F.coalesce("linked", F.lit(0))}).drop("top")
+    return sets.drop("sketch", "grams"), reps
+
+
+def jaccard_join(
+    spark: SparkSession, docs: DataFrame, threshold: float = NEAR, n: int = SHINGLE_WORDS, recall: float = TARGET_RECALL,
+    id_col: str = "doc_id", text_col: str = "text",
+) -> DataFrame:
+    """Near copies among all texts: ``doc_id, class_id, n_links``, one row per input row.
+
+    Rows are linked if the Jaccard similarity of their sets of word shingles
+    (n words, lower case) is at least ``threshold``; equal sets are linked
+    whatever their number. ``class_id`` is the least ``doc_id`` of the
+    connected rows and ``n_links`` the number of other rows linked with the
+    row. Found links are verified on the sets; a pair at the very threshold is
+    found with about the target recall, nearer ones almost surely.
+
+    Texts of fewer than n words are one shingle. Null texts and texts without
+    words have no links and are classes of their own. A null id takes part and
+    stays null. Repeated rows are linked to one another. An empty table gives
+    none; other columns are ignored.
+    """
+    named = only(docs, id_col, text_col).toDF("doc_id", "text")
+    rows, reps = _joined(Stage(spark, "jaccard"), named, threshold, n, recall, "text", ["doc_id"])
+    names = reps.groupBy("root").agg(F.min("least").alias("class_id"))
+    reps = reps.join(names, "root").select("k1", "k2", "class_id", (F.col("linked") + F.col("copies") - 1).alias("n_links"))
+    out = rows.where("n > 0").join(reps, ["k1", "k2"]).select("doc_id", "class_id", "n_links")
+    alone = rows.where("n = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"))
     return out.unionByName(alone)
+
+
+def keep_one(
+    spark: SparkSession, docs: DataFrame, threshold: float = NEAR, n: int = SHINGLE_WORDS, recall: float = TARGET_RECALL, text_col: str = "text",
+) -> DataFrame:
+    """The rows of ``docs`` without all but one of each class of near copies.
+
+    The row that the join met first stays; texts without words all stay. Rows
+    are told apart by their number, so null or repeated ids do no harm. The
+    columns travel beside the sets, so the texts are joined with the few
+    numbers that stay, not found again by id.
+    """
+    names = docs.columns
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    rows, reps = _joined(Stage(spark, "dedup"), plain, threshold, n, recall, f"c{names.index(text_col)}", plain.columns)
+    stay = reps.where(F.col("rid") == F.col("root")).select("rid")
+    kept = rows.where("n > 0").join(stay, "rid", "left_semi").unionByName(rows.where("n = 0"))
+    return kept.select(*[F.col(c).alias(name) for c, name in zip(plain.columns, names, strict=True)])

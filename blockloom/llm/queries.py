@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import ann, byte_bpe, jaccard_join, packing, quality, token_counts, topk, toxicity
+from . import ann, byte_bpe, chat, jaccard_join, packing, quality, token_counts, topk, toxicity, warc
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -94,3 +95,91 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_toxicity")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "score", "toxic")
+
+
+@query(
+    "op8_preference_format",
+    r"""
+    WITH clean AS (
+      SELECT conv_id AS pair_id, turn, s.role AS role, s.text AS text FROM (
+        SELECT conv_id, turn, min({'role': coalesce(role, 'unknown'), 'text': coalesce(text, '')}) AS s
+        FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY conv_id, turn)
+    ), final AS (
+      SELECT pair_id, max(turn) AS last, arg_max(text, turn) AS answer FROM clean WHERE role = 'assistant' GROUP BY pair_id
+    ), swapped AS (
+      SELECT c.pair_id, c.turn, c.role, CASE WHEN c.turn = f.last THEN coalesce(o.answer, '') ELSE c.text END AS text
+      FROM clean c LEFT JOIN final f ON f.pair_id = c.pair_id LEFT JOIN final o ON o.pair_id = c.pair_id + 1
+    ), paired AS (
+      SELECT c.pair_id, c.turn, c.role, c.text AS chosen, r.text AS rejected,
+             min(CASE WHEN c.text <> r.text THEN c.turn END) OVER (PARTITION BY c.pair_id) AS first
+      FROM clean c JOIN swapped r ON c.pair_id = r.pair_id AND c.turn = r.turn
+    ), parts AS (
+      SELECT pair_id, 'prompt' AS part, turn, role, chosen AS text FROM paired WHERE first IS NULL OR turn < first
+      UNION ALL SELECT pair_id, 'chosen', turn, role, chosen FROM paired WHERE turn >= first
+      UNION ALL SELECT pair_id, 'rejected', turn, role, rejected FROM paired WHERE turn >= first
+    ), shown AS (
+      SELECT *, '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) AS rendered FROM parts
+    ), laid AS (
+      SELECT *, CAST(length(rendered) AS BIGINT) AS n_chars,
+             CAST(coalesce(sum(length(rendered)) OVER (PARTITION BY pair_id, part ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
+      FROM shown
+    )
+    SELECT pair_id, part, turn, role, sha256(rendered) AS rendered_sha256, start, n_chars,
+           CASE WHEN role = 'assistant' AND part <> 'prompt' THEN start + length(role) + 13 END AS target_start,
+           CASE WHEN role = 'assistant' AND part <> 'prompt' THEN start + n_chars END AS target_end
+    FROM laid
+    """,
+)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    segments = chat.preference_segments(conversations.withColumnRenamed("conv_id", "pair_id"), chat.with_other_answers(conversations))
+    digest = F.sha2(F.col("rendered").cast("binary"), 256).alias("rendered_sha256")
+    return segments.select("pair_id", "part", "turn", "role", digest, "start", "n_chars", "target_start", "target_end")
+
+
+@query(
+    "op10_revisits",
+    r"""
+    WITH bare AS (
+      SELECT page_id, url, html, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS b FROM pages
+    ), cut AS (
+      SELECT page_id, url, md5(coalesce(html, '')) AS digest, CAST(octet_length(encode(coalesce(html, ''))) AS VARCHAR) AS bytes,
+             regexp_replace(lower(regexp_extract(b, '^[^/?]*', 0)), ':(80|443)$', '') AS host,
+             regexp_replace(regexp_extract(b, '^[^/?]*([^?]*)', 1), '/+$', '') AS path,
+             list_sort(list_filter(string_split(regexp_extract(b, '\?(.*)$', 1), '&'),
+               lambda p: p <> '' AND NOT regexp_full_match(p, '(utm_[a-z]+|ref|fbclid|gclid)(=.*)?'))) AS params
+      FROM bare
+    ), addressed AS (
+      SELECT *, host || path || CASE WHEN len(params) > 0 THEN '?' || array_to_string(params, '&') ELSE '' END AS address FROM cut
+    ), asked AS (
+      SELECT a.page_id, a.url, a.address, CASE WHEN page_id % 5 = 0 THEN '"none"' WHEN page_id % 7 = 0 OR page_id % 11 = 0 THEN NULL ELSE '"' || digest || '"' END AS tag,
+             CASE WHEN page_id % 5 <> 0 AND page_id % 7 = 0 THEN CAST(page_id % 28 AS VARCHAR) END AS day
+      FROM addressed a
+    ), found AS (
+      SELECT q.*, r.page_id AS of, r.digest, r.bytes
+      FROM asked q LEFT JOIN addressed r ON r.address = q.address AND r.page_id <= q.page_id
+      QUALIFY row_number() OVER (PARTITION BY q.page_id ORDER BY r.page_id DESC) = 1
+    ), judged AS (
+      SELECT *, CASE WHEN of IS NULL THEN 'no earlier response'
+                     WHEN tag IS NOT NULL THEN CASE WHEN tag = '"' || digest || '"' THEN 'resolved' ELSE 'validator mismatch' END
+                     WHEN day IS NOT NULL THEN CASE WHEN day = CAST(of % 28 AS VARCHAR) THEN 'resolved' ELSE 'validator mismatch' END
+                     ELSE 'no validator' END AS outcome
+      FROM found
+    )
+    SELECT page_id * 2 + 1 AS record_id, url, page_id * 4 + 3 AS "at", CASE WHEN outcome = 'resolved' THEN of * 2 END AS refers_to, outcome,
+           CASE WHEN outcome = 'resolved' THEN digest END AS payload_digest,
+           CASE WHEN outcome = 'resolved' THEN
+             'cache-control: max-age=90' || chr(10) || 'content-length: ' || bytes || chr(10) || 'content-type: text/html' || chr(10)
+             || 'etag: ' || CASE WHEN tag IS NULL THEN '"' || digest || '"' ELSE 'W/' || tag END || chr(10)
+             || 'last-modified: ' || coalesce(day, CAST(of % 28 AS VARCHAR))
+           ELSE
+             'cache-control: max-age=90' || chr(10) || 'content-length: 0'
+             || CASE WHEN tag IS NULL THEN '' WHEN tag = '"none"' THEN chr(10) || 'etag: ' || tag ELSE chr(10) || 'etag: W/' || tag END
+             || CASE WHEN day IS NULL THEN '' ELSE chr(10) || 'last-modified: ' || day END || chr(10) || 'server: edge'
+           END AS headers
+    FROM judged
+    """,
+)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.resolve_revisits(warc.records_of_pages(table(spark, sf_dir, "pages")))
+    return found.withColumn("headers", warc.header_text(F.col("headers")))
