@@ -20,12 +20,12 @@ from .vectors import finite, search
 
 DEGREE = 32
 BUILD_BEAM = 64
-QUERY_BEAM = 128
+QUERY_BEAM = 96
 ALPHA = 1.2
 #: Points that a beam expands at once.
 WIDTH = 4
 BATCH = 256
-SHARD_ROWS = 8192
+SHARD_ROWS = 16_384
 
 
 class Graph:
