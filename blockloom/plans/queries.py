@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from ..functions import binary, digests
 from ..operators import blocks, compare, containers, copying, election, lookup, manifests, recover, search, verify, writing
 from . import copy_plan
-from .registry import query, table
+from .registry import ORACLES, QUERIES, query, table
+
+__all__ = ["ORACLES", "QUERIES"]
 
 SMALL, LARGE = 1024, 4096
 PATTERN = b"the "
