@@ -15,10 +15,11 @@ last is padded.
 
 from __future__ import annotations
 
+import base64
+import math
 import zlib
 from functools import lru_cache
 
-import base64
 import numpy as np
 import pyarrow as pa
 import tiktoken
@@ -32,8 +33,6 @@ WINDOW = 2048
 #: Tokens of a histogram bin, and most rests in a strategy.
 BIN = 32
 DEPTH = 3
-#: Rows of one ordering task: ranks and offsets are summed over buckets of about this many.
-BUCKET_ROWS = 20_000
 
 
 def strategies(bins: int, depth: int = DEPTH) -> np.ndarray:
@@ -76,9 +75,8 @@ def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 400) -> np.ndarray:
 def plan(histogram: np.ndarray, depth: int = DEPTH) -> list[tuple[list[int], int]]:
     """(bins of a window, repeats) for a histogram of rests; index i counts bin i + 1.
 
-    Under-full windows weigh less than rests without a slot would cost: rests
-    that find none are packed greedily, so the counts are rounded down and
-    never exceed the histogram.
+    Rests that find no slot are packed greedily, so the counts are rounded
+    down and never exceed the histogram.
     """
     bins = len(histogram)
     combos = strategies(bins, depth)
@@ -218,7 +216,7 @@ def pack(
     slots = slots or [(0, 0, 0, 0, 0)]
 
     def buckets(n: int) -> int:
-        return max(1, -(-n // BUCKET_ROWS))
+        return max(1, math.isqrt(n))  # as many buckets as rows in one: both levels of a sum stay small
 
     ranked = _before(rest, ["bin"], F.lit(1), ["part", "row"], buckets(int(histogram.sum())))
     # The slots are at most DEPTH for each strategy in use, and strategies in use are about as many as bins.
@@ -277,7 +275,7 @@ def pack(
         .withColumns({"lo": F.greatest(F.col("before"), F.lit(room), edge), "hi": F.least(F.col("after"), edge + window)})
         .select("part", "row", "doc_id", "cut", "doc_tokens", "before", "lo", "hi", (F.col("w") + end).alias("sequence_id"), (F.col("lo") - edge).alias("offset"))
     )
-    kept, top = None, max(end_id, _encoder(ranks_path, pattern, tuple(sorted(special.items()))).max_token_value)
+    top = max(end_id, _encoder(ranks_path, pattern, tuple(sorted(special.items()))).max_token_value)
     kept = _kept(top)
 
     def sums_of(rows):
