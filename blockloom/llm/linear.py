@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from .common import sigmoid
 
 FOLDS = 5
+CHUNK = 2048
 
 
 class Logistic:
@@ -24,13 +25,15 @@ class Logistic:
         self.weights, self.bias = np.zeros(d), float(np.log(prior / (1 - prior)))
         if n == 0 or y.min() == y.max():
             return self
-        a = np.column_stack([x, np.ones(n)])
         w = np.append(self.weights, self.bias)
         keep = np.append(np.full(d, self.ridge), 1e-6)
         for _ in range(self.steps):
-            p = sigmoid(a @ w)
-            gradient = a.T @ (p - y) + keep * w
-            hessian = (a * (p * (1 - p) + 1e-6)[:, None]).T @ a + np.diag(keep)
+            gradient, hessian = keep * w, np.diag(keep)
+            for at in range(0, n, CHUNK):  # few rows at once, to hold no second copy of x
+                part = np.column_stack([x[at : at + CHUNK], np.ones(len(x[at : at + CHUNK]))]).astype(np.float64)
+                p = sigmoid(part @ w)
+                gradient = gradient + part.T @ (p - y[at : at + CHUNK])
+                hessian = hessian + (part * (p * (1 - p) + 1e-6)[:, None]).T @ part
             step = np.linalg.solve(hessian, gradient)
             step *= min(1.0, 10.0 / (np.abs(step).max() + 1e-12))
             w = w - step

@@ -76,7 +76,7 @@ class View:
 
     def matrix(self, numbers: np.ndarray, codes: np.ndarray) -> np.ndarray:
         n, d = numbers.shape
-        x = np.zeros((n, d * (BINS + 1) + codes.shape[1] * BUCKETS))
+        x = np.zeros((n, d * (BINS + 1) + codes.shape[1] * BUCKETS), np.float32)
         rows = np.arange(n)
         for j in range(d):
             at = np.where(np.isfinite(numbers[:, j]), np.searchsorted(self.edges[j], numbers[:, j], side="left"), BINS)

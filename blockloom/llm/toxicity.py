@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Memo, batches, only, sigmoid, strings, words
+from .common import Memo, Stage, batches, only, sigmoid, strings, words
 from .linear import Logistic, fold_of, held_out, sample_ids
 
 #: Most labelled documents that the chain is fitted on; scoring covers all.
@@ -59,66 +59,87 @@ class Chain:
         return x
 
 
-def fit_chain(ids: np.ndarray, held: list[np.ndarray], labels: np.ndarray, names: list[str], threshold: float = 0.5) -> Chain:
-    """Fit from each document's features (with repeats, one for each distinct word) and 0/1 labels.
-
-    The features of all links are those that tell the last category best, by
-    the chi-square of holding them at all.
-    """
-    final = labels[:, -1] if len(labels) else np.zeros(0)
-    flat = np.concatenate([np.unique(h) for h in held]) if held else np.zeros(0, np.uint64)
-    owner = np.repeat(np.arange(len(held)), [len(np.unique(h)) for h in held]) if held else np.zeros(0, np.int64)
-    name, at = np.unique(flat, return_inverse=True)
-    n1 = np.bincount(at, weights=final[owner] if len(owner) else None, minlength=len(name)).astype(float)
-    n = np.bincount(at, minlength=len(name)).astype(float)
-    total, positive = max(1, len(held)), float(final.sum())
-    expect = n * positive / total
-    with np.errstate(divide="ignore", invalid="ignore"):
-        chi = np.where((n >= LEAST_DOCS) & (expect > 0), (n1 - expect) ** 2 / expect, 0.0)
-    best = np.argsort(-chi, kind="stable")[:FEATURES]
-    best = best[chi[best] > 0]
-    columns = {int(name[b]): i for i, b in enumerate(best)}
-    x = np.zeros((len(held), len(columns)))
-    for i, h in enumerate(held):
-        for f in h.tolist():
-            if (c := columns.get(f)) is not None:
-                x[i, c] += 1
+def fit_chain(ids: np.ndarray, x: np.ndarray, labels: np.ndarray, names: list[str], columns: dict[int, int], threshold: float = 0.5) -> Chain:
+    """Fit from feature counts, 0/1 labels (a column for each category) and the features' columns."""
     folds, links = fold_of(ids), []
-    earlier = np.zeros((len(held), 0))
+    earlier = np.zeros((len(x), 0))
     for j in range(len(names)):
-        z, y = np.column_stack([x, earlier]), labels[:, j] if len(labels) else np.zeros(0)
+        z, y = np.column_stack([x, earlier]), labels[:, j]
         links.append(Logistic(_RIDGE).fit(z, y))
         earlier = np.column_stack([earlier, sigmoid(held_out(z, y, folds, _RIDGE))])
     return Chain(names, columns, links, threshold)
 
 
+def _counted(rows: DataFrame, y: str) -> DataFrame:
+    """``feature, n, n1``: documents, and documents of the category, that hold each feature."""
+
+    def run(batches_):
+        for batch in batches_:
+            held = [np.unique(np.frombuffer(h, np.uint64)) for h in batch.column(0).to_pylist()]
+            flat = np.concatenate(held) if held else np.zeros(0, np.uint64)
+            good = np.repeat(batch.column(1).to_numpy(zero_copy_only=False), [len(h) for h in held])
+            names, at = np.unique(flat, return_inverse=True)
+            n, n1 = np.bincount(at, minlength=len(names)), np.bincount(at, good, len(names)) if len(names) else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(n, pa.int64()), pa.array(n1.astype(np.int64))], names=["feature", "n", "n1"])
+
+    counted = rows.select("held", y).mapInArrow(run, "feature bigint, n bigint, n1 bigint")
+    return counted.groupBy("feature").agg(F.sum("n").alias("n"), F.sum("n1").alias("n1")).where(F.col("n") >= LEAST_DOCS)
+
+
+def best_features(rows: DataFrame, y: str) -> list[int]:
+    """The features that tell the category best, by the chi-square of holding them at all; few rows reach the driver."""
+    total, positive = rows.agg(F.count("*"), F.coalesce(F.sum(y), F.lit(0))).first()
+    if not positive or positive == total:
+        return []
+    expect = F.col("n") * positive / total
+    ranked = _counted(rows, y).withColumn("chi", F.round((F.col("n1") - expect) ** 2 / expect, 9)).where("chi > 0")
+    return [r["feature"] for r in ranked.orderBy(F.desc("chi"), "feature").limit(FEATURES).collect()]
+
+
 def train_chain(spark: SparkSession, docs: DataFrame, labels: DataFrame, names: list[str], most: int = MAX_LABELLED, id_col: str = "doc_id", text_col: str = "text") -> Chain:
     """Fit the chain on at most ``most`` labelled documents.
 
     ``labels`` has the id and one 0/1 column for each category in ``names``,
     in the chain's order; of repeated ids the largest labels hold, null labels
-    are 0. Only the sample's features reach the driver.
+    are 0. The features of all links are those that tell the last category
+    best. Only the sample's counts of those reach the driver.
     """
+    kind = docs.schema[id_col].dataType.simpleString()
     wide = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("label_id")).agg(*[F.coalesce(F.max(F.col(f"`{n}`").cast("int")), F.lit(0)).alias(f"y{i}") for i, n in enumerate(names)])
-    chosen = sample_ids(wide, most, "label_id")
-    sample = spark.createDataFrame([(i,) for i in chosen], f"label_id {docs.schema[id_col].dataType.simpleString()}")
+    sample = spark.createDataFrame([(i,) for i in sample_ids(wide, most, "label_id")], f"label_id {kind}")
     # At most ``most`` ids and labels are broadcast.
     known = F.broadcast(wide.join(F.broadcast(sample), "label_id"))
     rows = only(docs, id_col, text_col).toDF("doc_id", "text").join(known, F.col("doc_id") == F.col("label_id")).drop("label_id").dropDuplicates(["doc_id"])
+    ys = [f"y{i}" for i in range(len(names))]
 
     def run(batch_rows):
         memo = Memo(features_of, _WORDS_KEPT // 4)
-        for batch in batches(batch_rows):
+        for batch in batches(batch_rows, 2_000_000):
             held = [np.array([f for w in set(words(t)) for f in memo[w]], np.uint64).tobytes() for t in strings(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(held, pa.binary()), *batch.columns[2:]], names=["doc_id", "held", *batch.schema.names[2:]])
-
-    kinds = "".join(f", y{i} int" for i in range(len(names)))
-    got = rows.mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, held binary{kinds}").collect()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(held, pa.binary()), *batch.columns[2:]], names=["doc_id", "held", *ys])
+
+    held = Stage(spark, "toxicity").put(rows.mapInArrow(run, f"doc_id {kind}, held binary, {', '.join(f'{y} int' for y in ys)}"), "held")
+    columns = {f: i for i, f in enumerate(best_features(held, ys[-1]))}
+    order = np.array(sorted(columns), np.int64)
+    place = np.array([columns[f] for f in order.tolist()], np.int64)
+
+    def count(batch_rows):
+        for batch in batch_rows:
+            lists = []
+            for h in batch.column(1).to_pylist():
+                found = np.frombuffer(h, np.int64)
+                at = np.searchsorted(order, found) if len(order) else np.zeros(0, np.int64)
+                hit = (at < len(order)) & (order[np.minimum(at, len(order) - 1)] == found) if len(order) else np.zeros(0, bool)
+                lists.append(place[at[hit]].tolist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, pa.list_(pa.int64())), *batch.columns[2:]], names=["doc_id", "cols", *ys])
+
+    got = held.mapInArrow(count, f"doc_id {kind}, cols array<bigint>, {', '.join(f'{y} int' for y in ys)}").collect()
     got.sort(key=lambda r: r["doc_id"])
-    return fit_chain(
-        np.array([r["doc_id"] for r in got], np.int64), [np.frombuffer(r["held"], np.uint64) for r in got],
-        np.array([[r[f"y{i}"] for i in range(len(names))] for r in got], float).reshape(len(got), len(names)), names,
-    )
+    x = np.zeros((len(got), len(columns)), np.float32)
+    for i, r in enumerate(got):
+        np.add.at(x[i], r["cols"], 1)
+    labelled = np.array([[r[y] for y in ys] for r in got], float).reshape(len(got), len(names))
+    return fit_chain(np.array([r["doc_id"] for r in got], np.int64), x, labelled, names, columns)
 
 
 def score_chain(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
