@@ -60,8 +60,12 @@ class Chain:
 
 
 def fit_chain(ids: np.ndarray, x: np.ndarray, labels: np.ndarray, names: list[str], columns: dict[int, int], threshold: float = 0.5) -> Chain:
-    """Fit from feature counts, 0/1 labels (a column for each category) and the features' columns."""
+    """Fit from feature counts, 0/1 labels (a column for each category) and the features' columns.
+
+    Without a positive label of the last category no score reaches the threshold.
+    """
     folds, links = fold_of(ids), []
+    threshold = threshold if labels[:, -1].any() else 2.0
     earlier = np.zeros((len(x), 0))
     for j in range(len(names)):
         z, y = np.column_stack([x, earlier]), labels[:, j]
