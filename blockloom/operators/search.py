@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.binary import literal, one_char_per_byte
@@ -40,8 +39,7 @@ def grep_blocks(blocks: DataFrame, pattern: bytes) -> DataFrame:
     Matches are taken from the left anew in each block, and between a block's
     end and the next one's beginning, each as long as the pattern less one
     byte. So an overlap with itself may give more matches than a search of the
-    whole, and a match over three blocks is missed. Blocks leave as offsets
-    and edges only, so the window sorts a few bytes for each.
+    whole, and a match over three blocks is missed.
     """
     if not pattern:
         return blocks.select("file_id", "offset").limit(0)
@@ -54,8 +52,10 @@ def grep_blocks(blocks: DataFrame, pattern: bytes) -> DataFrame:
     inside = scanned.select("file_id", "offset", F.explode("found").alias("at")).select("file_id", (F.col("offset") + F.col("at")).alias("offset"))
     if edge == 0:
         return inside.distinct()
-    following = F.lead("head").over(W.partitionBy("file_id").orderBy("block_index"))
-    pairs = scanned.select("file_id", "offset", "n", "tail", following.alias("next")).where((F.octet_length("tail") > 0) & (F.octet_length("next") > 0))
+    # A block's end and the next one's head meet at their seam: one shuffle of a few bytes, whatever the file's size.
+    ends = F.array(F.struct(F.col("block_index").alias("at"), F.col("offset"), F.col("n"), F.col("tail"), F.lit(None).cast("binary").alias("next")), F.struct((F.col("block_index") - 1).alias("at"), F.lit(None).cast("bigint").alias("offset"), F.lit(None).cast("bigint").alias("n"), F.lit(None).cast("binary").alias("tail"), F.col("head").alias("next")))
+    met = scanned.select("file_id", F.explode(ends).alias("e")).groupBy("file_id", "e.at").agg(*[F.max(f"e.{c}").alias(c) for c in ("offset", "n", "tail", "next")])
+    pairs = met.where((F.octet_length("tail") > 0) & (F.octet_length("next") > 0))
     seam = F.octet_length("tail")
     crossing = pairs.select("file_id", (F.col("offset") + F.col("n") - seam).alias("from"), seam.alias("seam"), F.explode(starts(F.concat("tail", "next"), pattern)).alias("at"))
     crossing = crossing.where((F.col("at") < F.col("seam")) & (F.col("at") + len(pattern) > F.col("seam"))).select("file_id", (F.col("from") + F.col("at")).alias("offset"))

@@ -5,13 +5,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+#: Order values of one step of a running sum, and bytes of a chunk in which overlaps are settled.
+SPAN = 1 << 16
+CHUNK = 256
 
-def append_ranges(writes: DataFrame, file: str, order: str, data: str = "data") -> DataFrame:
-    """Adds ``offset`` and ``len``: where each appended value lies in its file."""
+
+def append_ranges(writes: DataFrame, file: str, order: str, data: str = "data", span: int = SPAN) -> DataFrame:
+    """Adds ``offset`` and ``len``: where each appended value lies in its file.
+
+    With an integer order the running sum has two levels, within spans of the
+    order and over the spans' sums, so a file with any share of the rows is
+    summed by many tasks.
+    """
     n = F.octet_length(data).cast("bigint")
-    before = F.sum(n).over(W.partitionBy(file).orderBy(order).rowsBetween(W.unboundedPreceding, -1))
-    return writes.withColumns({"offset": F.coalesce(before, F.lit(0)), "len": n})
+    rows = writes.withColumn("len", n)
+    whole = W.partitionBy(file).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    if not isinstance(writes.schema[order].dataType, T.IntegralType):
+        return rows.withColumn("offset", F.coalesce(F.sum("len").over(whole), F.lit(0)))
+    rows = rows.withColumn("_span", F.floor(F.col(order) / span))
+    sums = rows.groupBy(file, "_span").agg(F.sum("len").alias("_sum"))
+    earlier = F.sum("_sum").over(W.partitionBy(file).orderBy("_span").rowsBetween(W.unboundedPreceding, -1))
+    sums = sums.select(file, "_span", F.coalesce(earlier, F.lit(0)).alias("_base"))
+    within = F.sum("len").over(W.partitionBy(file, "_span").orderBy(order).rowsBetween(W.unboundedPreceding, -1))
+    return rows.join(sums, [file, "_span"]).withColumn("offset", F.col("_base") + F.coalesce(within, F.lit(0))).drop("_span", "_base")
 
 
 def index_faults(writes: DataFrame, file: str, index: str, expected: DataFrame) -> DataFrame:
@@ -32,16 +50,21 @@ def indexed(writes: DataFrame, file: str, index: str, expected: DataFrame, data:
     return append_ranges(writes.join(good, file).where("good").drop("good"), file, index, data)
 
 
-def last_wins(writes: DataFrame, file: str, seq: str, offset: str, data: str) -> DataFrame:
-    """The parts of each write that no later write covers.
+def last_wins(writes: DataFrame, file: str, seq: str, offset: str, data: str, chunk: int = CHUNK) -> DataFrame:
+    """The parts of each write that no later write covers: ``file, offset, data``.
 
-    Returns ``file, offset, data``. The boundaries of all writes cut each write
-    into intervals; of the writes over an interval the last one keeps it.
+    Writes are cut at chunk edges, and of equal intervals only the last is
+    kept, so a chunk has a bounded number of them however often it is written.
+    Their boundaries cut a chunk into pieces, each of which its last write keeps.
     """
-    w = writes.select(F.col(file).alias("file"), F.col(seq).alias("seq"), F.col(offset).alias("lo"), (F.col(offset) + F.octet_length(data)).alias("hi"), F.col(data).alias("data")).where("hi > lo")
-    edges = w.select("file", F.col("lo").alias("at")).unionByName(w.select("file", F.col("hi").alias("at"))).distinct()
-    cuts = edges.withColumn("to", F.lead("at").over(W.partitionBy("file").orderBy("at"))).where("to is not null")
-    over = cuts.join(w, (cuts["file"] == w["file"]) & (cuts["at"] < w["hi"]) & (cuts["to"] > w["lo"])).drop(w["file"])
+    w = writes.select(F.col(file).alias("file"), F.col(seq).alias("seq"), F.col(offset).cast("bigint").alias("lo"), (F.col(offset) + F.octet_length(data)).cast("bigint").alias("hi"), F.col(data).alias("data")).where("hi > lo")
+    w = w.select("*", F.explode(F.sequence(F.floor(F.col("lo") / chunk), F.floor((F.col("hi") - 1) / chunk))).alias("chunk"))
+    low, high = F.greatest("lo", F.col("chunk") * chunk), F.least("hi", (F.col("chunk") + 1) * chunk)
+    part = F.substring(F.col("data"), (low - F.col("lo") + 1).cast("int"), (high - low).cast("int"))
+    w = w.select("file", "chunk", low.alias("lo"), high.alias("hi"), "seq", part.alias("data")).groupBy("file", "chunk", "lo", "hi").agg(F.max_by("data", "seq").alias("data"), F.max("seq").alias("seq"))
+    edges = w.select("file", "chunk", F.explode(F.array("lo", "hi")).alias("at")).distinct()
+    cuts = edges.withColumn("to", F.lead("at").over(W.partitionBy("file", "chunk").orderBy("at"))).where("to is not null")
+    over = cuts.join(w, ["file", "chunk"]).where("at < hi and to > lo")
     kept = over.groupBy("file", "at", "to").agg(F.max_by(F.struct("lo", "data"), "seq").alias("w"))
     piece = F.substring(F.col("w.data"), (F.col("at") - F.col("w.lo") + 1).cast("int"), (F.col("to") - F.col("at")).cast("int"))
     return kept.select(F.col("file").alias(file), F.col("at").alias("offset"), piece.alias("data"))
