@@ -146,6 +146,116 @@ def write_blocks(writes: DataFrame, path: str, total_size: int, truncate: bool =
     out.write.format("blockfile").option("total_size", total_size).option("truncate", str(truncate).lower()).option("sync", str(sync).lower()).mode("append").save(os.path.abspath(path))
 
 
+class SequentialWriter:
+    """Appends to one file on the driver; each append returns where it lies."""
+
+    def __init__(self, path: str, append: bool = False):
+        self.file = open(path, "ab" if append else "wb")
+        self.at, self.bytes_written = self.file.tell(), 0
+
+    def append(self, data: bytes) -> int:
+        start = self.at
+        self.file.write(data)
+        self.at += len(data)
+        self.bytes_written += len(data)
+        return start
+
+    def flush(self, sync: bool = False) -> None:
+        self.file.flush()
+        if sync:
+            os.fsync(self.file.fileno())
+
+    def close(self) -> None:
+        self.file.close()
+
+    def __enter__(self) -> SequentialWriter:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
+
+@dataclass
+class WriteReport:
+    bytes_written: int
+    block_ranges: list[tuple[int, int]] = field(default_factory=list)
+
+
+class ParallelWriter:
+    """Writes blocks of DataFrames into one file, by index or by offset; ``finish`` makes the file.
+
+    ``indexed``: frames of ``index, data`` in any order; indices must be 0 to
+    ``block_count`` - 1, each once. ``fixed_size``: frames of ``offset, data``;
+    what is written later wins, gaps are zero or, without truncation, the old bytes.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, block_count: int | None, total_size: int | None, truncate: bool = True):
+        self.spark, self.path, self.block_count, self.total_size, self.truncate = spark, path, block_count, total_size, truncate
+        self.frames: list[DataFrame] = []
+        self.done = False
+
+    @classmethod
+    def indexed(cls, spark: SparkSession, path: str, block_count: int) -> ParallelWriter:
+        return cls(spark, path, block_count, None)
+
+    @classmethod
+    def fixed_size(cls, spark: SparkSession, path: str, total_size: int, truncate: bool = True) -> ParallelWriter:
+        return cls(spark, path, None, total_size, truncate)
+
+    def _add(self, frame: DataFrame, column: str) -> None:
+        if self.done:
+            raise RuntimeError("the writer is finished")
+        if (column == "index") != (self.block_count is not None):
+            raise ValueError("the writer takes " + ("indices" if self.block_count is not None else "offsets"))
+        place = F.col(column).cast("bigint").alias(column)
+        self.frames.append(frame.select(place, F.col("data").cast("binary").alias("data"), F.lit(len(self.frames)).alias("seq")))
+
+    def write_frame(self, frame: DataFrame) -> None:
+        self._add(frame, "index" if self.block_count is not None else "offset")
+
+    def write_at_index(self, index: int, data: bytes) -> None:
+        self._add(self.spark.createDataFrame([(index, data)], "index bigint, data binary"), "index")
+
+    def write_at_offset(self, offset: int, data: bytes) -> None:
+        self._add(self.spark.createDataFrame([(offset, data)], "offset bigint, data binary"), "offset")
+
+    def finish(self) -> WriteReport:
+        if self.done:
+            raise RuntimeError("the writer is finished")
+        self.done = True
+        from .operators import writing
+
+        column = "index" if self.block_count is not None else "offset"
+        rows = self.spark.createDataFrame([], f"{column} bigint, data binary, seq int")
+        for frame in self.frames:
+            rows = rows.unionByName(frame)
+        rows = rows.withColumn("file", F.lit(0))
+        if self.block_count is not None:
+            want = self.spark.createDataFrame([(0, self.block_count)], "file int, block_count bigint")
+            fault = writing.index_faults(rows, "file", "index", want).first()
+            if fault["out_of_range"] or fault["duplicates"] or fault["missing"]:
+                raise ValueError(f"bad indexed write: {fault['out_of_range']} out of range, {fault['duplicates']} duplicates, {fault['missing']} missing")
+            placed = writing.append_ranges(rows, "file", "index")
+            ranges = [(r["offset"], r["len"]) for r in placed.select("index", "offset", "len").orderBy("index").toLocalIterator()]
+            total = sum(n for _, n in ranges)
+            write_blocks(placed, self.path, total)
+            return WriteReport(total, ranges)
+        n = rows.agg(F.coalesce(F.sum(F.octet_length("data")), F.lit(0)), F.coalesce(F.max(F.col("offset") + F.octet_length("data")), F.lit(0)), F.coalesce(F.min("offset"), F.lit(0))).first()
+        if n[1] > self.total_size or n[2] < 0:
+            raise ValueError(f"write past end of file: {n[1]} of {self.total_size}")
+        write_blocks(writing.last_wins(rows, "file", "seq", "offset", "data"), self.path, self.total_size, self.truncate)
+        return WriteReport(n[0])
+
+
+def digest_file(spark: SparkSession, path: str, kind: str = "sha256", block_size: int = 1 << 20) -> str:
+    """SHA-256 or BLAKE3 of a whole file of any size."""
+    from .operators.blocks import file_digests
+
+    rows = open_file(spark, path, block_size).blocks().withColumn("file_id", F.lit(0).cast("bigint"))
+    row = file_digests(rows, kind).first()
+    return row["digest"] if row is not None else digests.STREAMS[kind]().hex()
+
+
 # --- the driver's part: locks, renames, drift -----------------------------------
 
 

@@ -82,6 +82,16 @@ def record_counts(n: Column, block_size: int) -> Column:
     return F.struct(whole.alias("full"), F.when(n % block_size != 0, 1).otherwise(0).cast("bigint").alias("partial"))
 
 
+def benchmark_size(free: int, capacity: int, files: int, writes: int, most: int, budget: float = 0.001, unit: int = 4096) -> int:
+    """How large a benchmark's files may be, in whole units and one at least.
+
+    At most 60 % of the free space, shared by the files, and so much that all
+    writes stay within a share of the capacity.
+    """
+    size = min(most, int(free * 0.6) // max(1, files), int(capacity * budget) // max(1, writes))
+    return max(unit, size // unit * unit)
+
+
 def literal(pattern: bytes) -> str:
     """A regular expression for the bytes as they are, for text in which each character is one byte."""
     return "".join(f"\\x{b:02x}" for b in pattern)

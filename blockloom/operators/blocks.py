@@ -99,3 +99,33 @@ def indexed_jobs(spark, count: int, job: Callable[[int], object], kind: str, par
 
     jobs = spark.range(0, count, 1, partitions or max(1, min(count, spark.sparkContext.defaultParallelism)))
     return jobs.select(F.col("id").alias("job_index"), run("id").alias("value"))
+
+
+def file_digests(blocks: DataFrame, kind: str = "sha256") -> DataFrame:
+    """``file_id, digest`` of whole files from their blocks, for files beyond one row.
+
+    A file's blocks are sorted into one task and stream through the digest's
+    state, so a task holds a batch of blocks and no file. Files without blocks
+    have no row. ``kind`` is ``sha256`` or ``blake3``.
+    """
+    import pyarrow as pa
+
+    from ..functions.digests import STREAMS
+
+    make = STREAMS[kind]
+
+    def run(batches):
+        now, state = None, None
+        for batch in batches:
+            for file_id, data in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if state is None or file_id != now:
+                    if state is not None:
+                        yield pa.RecordBatch.from_pydict({"file_id": pa.array([now], batch.schema.field(0).type), "digest": [state.hex()]})
+                    now, state = file_id, make()
+                state.update(data)
+            last = batch.schema.field(0).type
+        if state is not None:
+            yield pa.RecordBatch.from_pydict({"file_id": pa.array([now], last), "digest": [state.hex()]})
+
+    rows = blocks.select("file_id", "block_index", "data").repartition("file_id").sortWithinPartitions("file_id", "block_index")
+    return rows.mapInArrow(run, f"file_id {blocks.schema['file_id'].dataType.simpleString()}, digest string")

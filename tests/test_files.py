@@ -255,3 +255,38 @@ def test_scrub_stream(spark, tmp_path):
 def test_fill_is_seeded(spark):
     a, b = (writing.fill(spark, 64, 150, 9).orderBy("offset").collect() for _ in range(2))
     assert a == b and sum(len(r["data"]) for r in a) == 150
+
+
+def test_whole_file_digests(spark, target, tmp_path):
+    import hashlib
+
+    assert api.digest_file(spark, target, block_size=4096) == hashlib.sha256(pattern(40_000)).hexdigest()
+    for n in (0, 1, 1024, 1025, 5000, 40_000):
+        path = tmp_path / "d"
+        path.write_bytes(pattern(n))
+        assert api.digest_file(spark, str(path), "blake3", 2048) == blake3.blake3_hex(pattern(n))
+
+
+def test_writer_handles(spark, tmp_path):
+    path = str(tmp_path / "w")
+    writer = api.ParallelWriter.indexed(spark, path, 3)
+    writer.write_frame(spark.createDataFrame([(2, b"ccc"), (0, b"a")], "index bigint, data binary"))
+    with pytest.raises(ValueError, match="indices"):
+        writer.write_at_offset(0, b"x")
+    writer.write_at_index(1, b"bb")
+    assert writer.finish() == api.WriteReport(6, [(0, 1), (1, 2), (3, 3)]) and api.read_file(path) == b"abbccc"
+    with pytest.raises(RuntimeError):
+        writer.finish()
+    missing = api.ParallelWriter.indexed(spark, path, 2)
+    missing.write_at_index(1, b"x")
+    with pytest.raises(ValueError, match="1 missing"):
+        missing.finish()
+    writer = api.ParallelWriter.fixed_size(spark, path, 8, truncate=False)
+    writer.write_at_offset(1, b"XYZ")
+    writer.write_at_offset(2, b"!")
+    assert writer.finish().bytes_written == 4 and api.read_file(path) == b"aX!Zcc\0\0"
+    with api.SequentialWriter(path) as w:
+        assert [w.append(b"ab"), w.append(b"c")] == [0, 2]
+    with api.SequentialWriter(path, append=True) as w:
+        assert w.append(b"d") == 3
+    assert api.read_file(path) == b"abcd"

@@ -115,6 +115,7 @@ def test_sizes(spark):
     got = [r["n"] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(binary.parse_size(F.col("t")).alias("n")).collect()]
     assert got == [65536, 4 << 30, 7, 1024, 12, None, None, None, None, 8388607 << 40]
     assert [binary.parse_size_value(t) for t in ("64k", "x")] == [65536, None]
+    assert [binary.benchmark_size(f, 1 << 40, 2, 100, 1 << 30) for f in (1 << 40, 100_000, 0)] == [10_993_664, 28_672, 4096]
     row = spark.range(1).select(binary.format_bytes(F.lit(1536)), binary.first_gbps(F.lit("read 10 bytes in 2 s, 12.5 GB/s")), binary.first_gbps(F.lit("none"))).first()
     assert tuple(row) == ("1.50 KiB", 12.5, None)
 
