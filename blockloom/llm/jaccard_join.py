@@ -7,10 +7,10 @@ A set is embedded as ``COORDS`` min-hash tokens. A run of the chosen-path
 recursion starts with all sets in one bucket and splits a bucket by the token
 at a coordinate that a hash of the bucket's path samples: sets that share the
 token go on together. A bucket of at most ``LEAF`` sets is a leaf and is
-compared by brute force; so is a bucket that is still large at the last level,
-where it is dealt into blocks, and every pair of blocks is a task of its own.
-Runs are repeated until a pair at the threshold is missed with a probability
-below the target.
+compared by brute force; so is a larger bucket whose sets are alike on average,
+as its links are then about as many as its pairs: it is dealt into blocks, and
+every pair of blocks is a task of its own. Runs are repeated until a pair at
+the threshold is missed with a probability below the target.
 
 A pair may meet in several leaves; only the least of its common leaves counts
 it, which both sets' lists of leaves decide without any exchange. What leaves a
@@ -33,10 +33,15 @@ from pyspark.sql import functions as F
 from .common import NEAR, SHINGLE_WORDS, Memo, Stage, batches, only, strings, words
 
 COORDS = 64
-LEVELS = 8
+#: Most levels of the recursion, and sets of a bucket that is compared at once.
+LEVELS = 16
 LEAF = 128
-#: Sets of a block, where a bucket stays large at the last level.
+#: Sets of a block, where a larger bucket is compared.
 BLOCK = 1024
+#: Average similarity from which a bucket is compared and not split.
+ALIKE = 0.7
+#: One in so many buckets has two children for each set: 1.25 on average, the inverse of the least similarity.
+FORK = 4
 TARGET_RECALL = 0.999
 #: A pair is taken to be split at this many levels before its bucket is small.
 USUAL_DEPTH = 3
@@ -81,7 +86,7 @@ def shingle_sets(docs: DataFrame, n: int = SHINGLE_WORDS, text_col: str = "text"
     ``rid`` numbers the rows, ``k1, k2`` are a 128-bit key of the set of 64-bit
     shingle hashes, ``grams`` those hashes cut to 32 bits (two sets of 20,000
     shingles then share a tenth of a shingle by chance), ``sketch`` the
-    min-hash tokens. A text without words has n = 0 and null binaries.
+    min-hash tokens. A text without words has n = 0 and no sketch.
     """
     keep = keep or []
 
@@ -99,72 +104,68 @@ def shingle_sets(docs: DataFrame, n: int = SHINGLE_WORDS, text_col: str = "text"
                 if len(grams):
                     key = xxhash.xxh3_128_intdigest(grams.tobytes())
                     k1, k2 = (key >> 64) - (1 << 63), (key & (1 << 64) - 1) - (1 << 63)
-                    values = (rid, k1, k2, len(grams), signature(grams, mult, add).tobytes(), np.unique(grams.astype(np.uint32)).tobytes())
+                    values = (rid, k1, k2, len(grams), signature(grams, mult, add).view(np.int32), np.unique(grams.astype(np.uint32)).tobytes())
                 else:
                     values = (rid, None, None, 0, None, None)
                 for column, value in zip(out, values, strict=True):
                     column.append(value)
                 rid += 1
-            arrays = [pa.array(c, pa.int64()) for c in out[:4]] + [pa.array(c, pa.binary()) for c in out[4:]]
+            arrays = [pa.array(c, pa.int64()) for c in out[:4]] + [pa.array(out[4], pa.list_(pa.int32())), pa.array(out[5], pa.binary())]
             yield pa.RecordBatch.from_arrays(arrays + batch.columns[1:], names=["rid", "k1", "k2", "n", "sketch", "grams", *keep])
 
     kinds = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     rows = docs.select(F.col(f"`{text_col}`").alias("text"), *[F.col(f"`{c}`").alias(f"kept{i}") for i, c in enumerate(keep)])
-    return rows.mapInArrow(run, f"rid bigint, k1 bigint, k2 bigint, n bigint, sketch binary, grams binary{kinds}")
+    return rows.mapInArrow(run, f"rid bigint, k1 bigint, k2 bigint, n bigint, sketch array<int>, grams binary{kinds}")
 
 
-def _paths(reps: DataFrame, runs: int) -> DataFrame:
-    """``rid, run, path``: the bucket of each set at each level of each run.
+def _child(bucket, branch, sketch):
+    """The bucket that a set of a bucket goes to: the path's hash samples the coordinate, the set's token there splits."""
+    at = F.pmod(F.xxhash64(bucket, branch), F.lit(COORDS)).cast("int")
+    return F.xxhash64(bucket, branch, at, F.get(sketch, at))
 
-    The coordinate that splits a bucket is sampled by a hash of its path, so
-    all sets of a bucket are split by the same one.
-    """
-
-    def mixed(x: np.ndarray) -> np.ndarray:
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return x ^ (x >> np.uint64(31))
 
-    def run(rows):
-        for batch in rows:
-            if not batch.num_rows:
-                continue
-            sketch = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, COORDS)
-            for r in range(runs):
-                path = mixed(np.full(len(sketch), r + 1, np.uint64))
-                levels = np.empty((len(sketch), LEVELS), np.uint64)
-                for level in range(LEVELS):
-                    at = (mixed(path + np.uint64(level)) % np.uint64(COORDS)).astype(np.int64)
-                    token = sketch[np.arange(len(sketch)), at].astype(np.uint64) * np.uint64(COORDS) + at.astype(np.uint64)
-                    path = levels[:, level] = mixed(path ^ mixed(token))
-                flat = pa.array(levels.view(np.int64).ravel(), pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(np.full(len(sketch), r, np.int32)), pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, LEVELS), pa.int32()), flat)],
-                    names=["rid", "run", "path"],
-                )
-
-    return reps.select("rid", "sketch").mapInArrow(run, "rid bigint, run int, path array<bigint>")
+def _similar(large: DataFrame) -> DataFrame:
+    """``bucket``s whose sets are alike on average, by the tokens that each shares with one of them."""
+    one = large.groupBy("bucket").agg(F.min_by("sketch", "rid").alias("one"))
+    equal = F.aggregate(F.zip_with("sketch", "one", lambda a, b: (a == b).cast("int")), F.lit(0), lambda n, x: n + x)
+    return large.join(one, "bucket").groupBy("bucket").agg((F.avg(equal) >= ALIKE * COORDS).alias("alike")).where("alike")
 
 
 def _leaves(stage: Stage, reps: DataFrame, runs: int) -> DataFrame:
-    """``rid, leaf, members``: the buckets to compare, each set of members once."""
-    active, leaves = _paths(reps, runs), None
-    mark = F.xxhash64("rid")
+    """``rid, leaf, members``: the buckets to compare, each set of members once.
+
+    All sets of a bucket follow the same sampled coordinates, so the recursion
+    is a join of sets with the sizes of their buckets, level by level. One in
+    ``FORK`` buckets splits by two coordinates, into as many children as keep a
+    pair at the threshold together once on average, however deep it goes.
+    """
+    sketches = reps.select("rid", "sketch")
+    root = F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(runs).cast("bigint")))
+    active = sketches.withColumn("run", root).select("rid", _child(F.col("run"), F.lit(0), F.col("sketch")).alias("bucket"))
+    leaves = None
     for level in range(LEVELS):
-        bucket = F.col("path")[level]
-        sized = active.groupBy("run", bucket.alias("bucket")).agg(
-            F.count("*").alias("members"), F.bit_xor(mark).alias("x"), F.bit_xor(F.xxhash64("rid", F.lit(1))).alias("y")
+        sized = active.groupBy("bucket").agg(
+            F.count("*").alias("members"), F.bit_xor(F.xxhash64("rid")).alias("x"), F.bit_xor(F.xxhash64("rid", F.lit(1))).alias("y")
         ).where("members > 1")
-        found = stage.put(active.withColumn("bucket", bucket).join(sized, ["run", "bucket"]), f"level{level}")
-        last = level == LEVELS - 1
-        leaf = found if last else found.where(F.col("members") <= LEAF)
-        leaf = leaf.select("rid", "members", "x", "y")
-        leaves = leaf if leaves is None else leaves.unionByName(leaf)
-        if last:
-            break
-        active = found.where(F.col("members") > LEAF).select("rid", "run", "path")
-        if active.isEmpty():
+        found = stage.put(active.join(sized, "bucket"), f"level{level}")
+        small = found.where(F.col("members") <= LEAF)
+        large = found.where(F.col("members") > LEAF)
+        if level == LEVELS - 1:
+            small = found
+        elif large.isEmpty():
+            large = None
+        else:
+            # Where most sets are alike, splitting only parts what must be compared anyway.
+            large = large.join(sketches, "rid")
+            large = stage.put(large.join(_similar(large), "bucket", "left").withColumn("alike", F.coalesce("alike", F.lit(False))), f"large{level}")
+            small = small.unionByName(large.where("alike").drop("sketch", "alike"))
+        small = small.select("rid", "members", "x", "y")
+        leaves = small if leaves is None else leaves.unionByName(small)
+        if level == LEVELS - 1 or large is None:
             break
+        forked = F.pmod(F.xxhash64("bucket", F.lit(level)), F.lit(FORK)) == 0
+        branches = F.explode(F.when(forked, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("branch")
+        active = large.where("not alike").select("rid", "bucket", "sketch", branches).select("rid", _child(F.col("bucket"), F.col("branch"), F.col("sketch")).alias("bucket")).distinct()
     # Buckets of the same members are one leaf, named by the hashes of the members.
     return leaves.select("rid", F.xxhash64("members", "x", "y").alias("leaf"), "members").distinct()
 
@@ -306,9 +307,9 @@ def _joined(stage: Stage, docs: DataFrame, threshold: float, n: int, recall: flo
     reps = stage.put(reps.select("k1", "k2", "first.rid", "first.sketch", "copies", "least"), "reps")
     leaves = stage.put(_leaves(stage, reps, runs_for(threshold, recall)), "leaves")
 
-    of_set = leaves.groupBy("rid").agg(F.sort_array(F.collect_set("leaf")).alias("leaves"))  # one for each run at most
+    of_set = leaves.groupBy("rid").agg(F.sort_array(F.collect_set("leaf")).alias("leaves"))  # about one for each run
     of_set = of_set.join(reps.select("rid", "copies"), "rid").join(sets.select("rid", "grams"), "rid")
-    blocks = F.when(F.col("members") <= LEAF, F.lit(1)).otherwise(F.ceil(F.col("members") / BLOCK)).cast("int")
+    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int")
     tasks = (
         leaves.withColumn("blocks", blocks).withColumn("block", own)
