@@ -7,7 +7,8 @@ diverse. Edges are made mutual, and a point with too many is pruned again.
 Queries search every shard's graph by beam.
 
 The largest inner product is the least distance after each vector gets one
-more coordinate that brings all to the length of the longest.
+more coordinate that brings all to the length of the longest; vectors of very
+different lengths are kept in graphs of their own.
 """
 
 from __future__ import annotations
@@ -25,6 +26,9 @@ ALPHA = 1.2
 #: Points that a beam expands at once.
 WIDTH = 4
 BATCH = 256
+#: The least length of a group of vectors, as a share of its greatest; groups up to SCANNED vectors need no graph.
+LENGTHS = 0.8
+SCANNED = 200
 SHARD_ROWS = 16_384
 
 
@@ -149,21 +153,58 @@ class Graph:
         return ids, dist
 
 
-def _searcher(vectors: np.ndarray, least: np.ndarray, beam: int = QUERY_BEAM):
-    """Inner products by the graph over vectors of one length."""
-    scale = float(np.abs(vectors).max()) or 1.0
-    unit = vectors / scale
-    length = (unit * unit).sum(1)
-    more = np.sqrt(np.maximum(length.max() - length, 0))
-    graph = Graph(np.column_stack([unit, more]).astype(np.float32))
+class _Group:
+    """Vectors of about one length: a graph, or for a few vectors all of them."""
+
+    def __init__(self, rows: np.ndarray, vectors: np.ndarray):
+        self.rows, self.vectors = rows, vectors
+        length = (vectors * vectors).sum(1)
+        self.longest = float(np.sqrt(length.max()))
+        self.graph = None
+        if len(rows) > SCANNED:
+            unit = vectors / self.longest
+            more = np.sqrt(np.maximum(1 - length / self.longest**2, 0))
+            self.graph = Graph(np.column_stack([unit, more]).astype(np.float32))
+
+    def find(self, queries: np.ndarray, size: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+        if self.graph is None:
+            return np.broadcast_to(self.rows, (len(queries), len(self.rows))), queries @ self.vectors.T
+        asked = np.column_stack([queries / size[:, None], np.zeros(len(queries))]).astype(np.float32)
+        index, _ = self.graph.beam(asked, min(beam, len(self.rows)))
+        score = np.einsum("bcd,bd->bc", self.vectors[index], queries)
+        return np.where(index >= 0, self.rows[index], -1), np.where(index >= 0, score, -np.inf)
+
+
+def _searcher(original: np.ndarray, k: int):
+    """Largest inner products over one shard.
+
+    With lengths far apart a graph leads to long vectors badly, so each range
+    of lengths has a graph of its own. The longest come first, and a query
+    skips those whose length rules out what it has found already.
+    """
+    beam = max(QUERY_BEAM, 2 * k)
+    vectors = original / (float(np.abs(original).max()) or 1.0)
+    length = np.sqrt((vectors * vectors).sum(1))
+    order = np.argsort(-length, kind="stable")
+    groups, at = [], 0
+    while at < len(order):
+        to = at + int(np.searchsorted(-length[order[at:]], -length[order[at]] * LENGTHS, side="right"))
+        groups.append(_Group(order[at:to], vectors[order[at:to]]))
+        at = to
 
     def find(queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        size = np.sqrt((queries * queries).sum(1, keepdims=True))
-        asked = np.column_stack([queries / size, np.zeros(len(queries))]).astype(np.float32)
-        index, _ = graph.beam(asked, min(beam, max(2, len(vectors))))
-        score = np.einsum("bcd,bd->bc", vectors[index], queries)
-        score[index < 0] = -np.inf
-        return index, score
+        size = np.sqrt((queries * queries).sum(1))
+        index, score = np.full((len(queries), beam), -1, np.int64), np.full((len(queries), beam), -np.inf)
+        for g in groups:
+            open_ = np.flatnonzero(size * g.longest >= score[:, k])
+            if not len(open_):
+                break
+            i, s = g.find(queries[open_], size[open_], beam)
+            i, s = np.concatenate([index[open_], i], 1), np.concatenate([score[open_], s], 1)
+            best = np.argsort(-s, 1, kind="stable")[:, :beam]
+            index[open_], score[open_] = np.take_along_axis(i, best, 1), np.take_along_axis(s, best, 1)
+        # Scores that count are taken from the vectors as they were.
+        return index, np.where(index >= 0, np.einsum("bcd,bd->bc", original[index], queries), -np.inf)
 
     return find
 
@@ -191,4 +232,4 @@ def nearest(
 
     found = clean(rows)
     asked = found.where("id % 20 = 0") if queries is None else clean(queries)
-    return search(spark, found, asked, k, shard_rows, _searcher, "double")
+    return search(spark, found, asked, k, shard_rows, lambda vectors, least: _searcher(vectors, k), "double")
