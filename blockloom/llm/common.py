@@ -40,6 +40,18 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_OWN[0]}"
 
 
+#: Most bytes of an Arrow batch: what a worker is handed at once, beside single longer rows.
+BATCH_BYTES = 16 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lowers the session's limit of an Arrow batch to ``BATCH_BYTES``; long texts otherwise come in batches of 64 MB."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    number = spark.conf.get(key).lower().rstrip("b")
+    if not number.isdigit() or not 0 < int(number) <= BATCH_BYTES:
+        spark.conf.set(key, f"{BATCH_BYTES}b")
+
+
 class Stage:
     """Tables written to the shared folder; they cut lineage and outlive executors.
 

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, byte_bpe, chat, jaccard_join, packing, quality, token_counts, topk, toxicity, warc
+from .common import bound_batches
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -23,6 +24,7 @@ def query(name: str, oracle: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -53,7 +55,27 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(spark, table(spark, sf_dir, "documents"))
 
 
-@query("op2_jaccard_join")
+@query(
+    "op2_jaccard_join",
+    r"""
+    WITH RECURSIVE w AS (
+      SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS t FROM documents
+    ), g AS (
+      SELECT DISTINCT doc_id, array_to_string(t[i:i + least(5, len(t)) - 1], ' ') AS gram
+      FROM w, unnest(range(1, len(t) - least(5, len(t)) + 2)) AS r(i) WHERE len(t) > 0
+    ), n AS (
+      SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id
+    ), l AS (
+      SELECT p.x, p.y FROM (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY ALL) p
+      JOIN n nx ON nx.doc_id = p.x JOIN n ny ON ny.doc_id = p.y WHERE 5 * common >= 4 * (nx.n + ny.n - common)
+    ), r AS (
+      SELECT x AS doc_id, y AS root FROM l UNION SELECT r.doc_id, l.y FROM r JOIN l ON l.x = r.root
+    )
+    SELECT d.doc_id, least(d.doc_id, coalesce((SELECT min(root) FROM r WHERE r.doc_id = d.doc_id), d.doc_id)) AS class_id,
+           (SELECT count(*) FROM l WHERE l.x = d.doc_id) AS n_links
+    FROM documents d
+    """,
+)
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_join(spark, table(spark, sf_dir, "documents"))
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blockloom.llm import jaccard_join, quality, toxicity
-from blockloom.llm.common import Stage
+from blockloom.llm.common import Stage, bound_batches
 from blockloom.llm.queries import packed, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -42,11 +42,13 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near copies: that of the least row number, which is unique."""
+    bound_batches(spark)
     return jaccard_join.keep_one(spark, _columns(docs)).select(*COLUMNS)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs the remaining documents; returns pieces."""
+    bound_batches(spark)
     return packed(spark, _columns(docs))
 
 
