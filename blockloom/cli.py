@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from . import api
 from .functions.binary import parse_size_value
-from .operators import recover
+from .operators import election, recover
 from .plans import config as settings
 from .plans import copy_plan, tuner
 
@@ -90,6 +90,12 @@ def _rate(name: str, n: int, seconds: float) -> str:
     return f"{name} {n} bytes in {seconds:.4f} s, {n / max(seconds, 1e-9) / 1e9:.1f} GB/s"
 
 
+def _outcome(issue: dict) -> str:
+    if issue["basis"]:
+        return election.RECOVERED % election.BASIS[issue["basis"]]
+    return election.FAILED % election.FAILURE[issue["failure"]]
+
+
 def _bench(verb: str, size: int = 1 << 28) -> int:
     """In-memory and write microbenchmarks of one process."""
     import mmap
@@ -156,13 +162,13 @@ def _run(a: argparse.Namespace, spark, block_size: int, say: Callable[[str], Non
         report = api.verify_file(spark, first, a.hash_base, unit)
         print(f"{report.ok_blocks} of {report.total_blocks} blocks ok, {report.loaded_manifests} sidecars")
         for bad in report.bad_blocks:
-            print(f"block {bad['block_index']}: {bad['failure'] or bad['basis']}")
+            print(f"block {bad['block_index']}: {_outcome(bad)}")
         return int(bool(report.bad_blocks)), report.bytes_hashed
     mode = recover.FAST if a.fast else recover.IN_PLACE_ALL if a.in_place_all else recover.STANDARD
     done = api.recover_file(spark, first, a.args[1:], a.hash_base, mode, unit)
     print(f"{done.repaired_blocks} blocks repaired in {done.repaired_files} files, {done.sidecars_refreshed} sidecars refreshed, {len(done.failed_blocks)} blocks failed")
     for bad in done.failed_blocks:
-        print(f"{bad['path']} block {bad['block_index']}: {bad['failure'] or bad['basis']}")
+        print(f"{bad['path']} block {bad['block_index']}: {_outcome(bad)}")
     return int(bool(done.failed_blocks)), done.bytes_hashed
 
 

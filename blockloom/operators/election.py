@@ -6,13 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The outcomes, by name and as shown.
-BASIS = {
-    "IntactHash": "intact hash", "FileAndFileAgreement": "file and file agreement", "FileAndManifestAgreement": "file and manifest agreement",
-}
+BASIS = {"IntactHash": "intact hash", "FileAndFileAgreement": "file+file agreement", "FileAndManifestAgreement": "file+manifest agreement"}
 FAILURE = {
-    "NoBlockHashFound": "no block hash found", "ManifestOnlyAgreement": "manifest-only agreement",
-    "ConflictingIntactHashes": "conflicting intact hashes", "IntactHashWithoutMatchingBlock": "intact hash without matching block",
+    "ManifestOnlyAgreement": "manifest+manifest hashes agree", "NoBlockHashFound": "no block hash found either",
+    "IntactHashWithoutMatchingBlock": "intact hash found but no matching file block", "ConflictingIntactHashes": "conflicting intact hashes",
 }
+RECOVERED, FAILED = "recovered block based on %s", "failed to recover corrupt block [%s]"
 VOTE = "array<struct<hash:string,total_votes:bigint,file_copy_votes:bigint,hash_replica_votes:bigint>>"
 
 
@@ -77,9 +76,8 @@ def decide(rows: DataFrame, files: str = "files", manifests: str = "manifests")
 
 def status_message(basis: Column, failure: Column) -> Column:
     """The outcome in words."""
-    named = {**BASIS, **FAILURE}
-    one = F.coalesce(basis, failure)
-    return F.coalesce(*[F.when(one == k, v) for k, v in named.items()])
+    known = [F.when(basis == k, RECOVERED % v) for k, v in BASIS.items()] + [F.when(failure == k, FAILED % v) for k, v in FAILURE.items()]
+    return F.coalesce(*known, F.lit(FAILED % "unknown reason"))
 
 
 def witnesses(copies: DataFrame, replicas: DataFrame, is_intact: Column) -> DataFrame:

@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions.binary import under_mount
 
-#: File systems that are no disks, mount roots of the system, and file systems that count as disks whatever their source.
-PSEUDO = ["proc", "sysfs", "tmpfs", "devtmpfs", "devpts", "cgroup", "cgroup2", "overlay", "squashfs", "nfs", "nfs4", "cifs", "fuse", "autofs", "mqueue", "debugfs", "tracefs", "securityfs", "pstore", "bpf", "configfs", "hugetlbfs", "ramfs"]
-SYSTEM_ROOTS = ["/proc", "/sys", "/dev", "/run", "/boot", "/snap"]
+#: File systems that are no disks, beginnings of mount points that are none, and file systems that are disks whatever their source.
+PSEUDO = [
+    "proc", "sysfs", "devtmpfs", "devpts", "tmpfs", "ramfs", "cgroup", "cgroup2", "pstore", "debugfs", "tracefs", "securityfs", "bpf", "mqueue", "hugetlbfs", "configfs", "fusectl",
+    "autofs", "rpc_pipefs", "binfmt_misc", "efivarfs", "squashfs", "overlay", "nfs", "nfs4", "cifs", "smb3", "ceph", "glusterfs",
+]
+SYSTEM = ["/proc", "/sys", "/dev", "/run", "/snap", "/var/lib/snapd"]
 ALWAYS = ["zfs", "btrfs"]
 
 
@@ -31,12 +34,10 @@ def is_under(path: Column, mount: Column) -> Column:
 
 
 def disk_backed(mount_point: Column, fstype: Column, source: Column) -> Column:
-    """Whether a mount is a disk: no pseudo or network file system, no system root; the root, devices and pool file systems are."""
-    system = F.lit(False)
-    for root in SYSTEM_ROOTS:
-        system = system | under_mount(mount_point, F.lit(root))
-    disk = (mount_point == "/") | source.startswith("/dev/") | fstype.isin(ALWAYS)
-    return F.coalesce(~fstype.isin(PSEUDO) & ~system & disk, F.lit(False))
+    """Whether a mount is a disk: of no pseudo or network file system, and the root, or outside the system's places with a device or pool behind it."""
+    outside = ~mount_point.rlike("^(" + "|".join(SYSTEM) + ")")
+    backed = source.startswith("/dev/") | fstype.isin(ALWAYS)
+    return F.coalesce(~fstype.isin(PSEUDO) & ((mount_point == "/") | (outside & backed)), F.lit(False))
 
 
 def profile_match(devices: DataFrame, profiles: DataFrame) -> DataFrame:

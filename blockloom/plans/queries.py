@@ -261,9 +261,9 @@ def vote_tally(spark, sf_dir):
     return votes.select("file_id", "block_index", "v.hash", "v.total_votes", "v.file_copy_votes", "v.hash_replica_votes", "place")
 
 
-@query("election_decisions", f"""WITH {witnesses_sql(4)}, {election_sql('')} SELECT *, CASE coalesce(basis, failure) WHEN 'IntactHash' THEN 'intact hash' WHEN 'FileAndFileAgreement' THEN 'file and file agreement'
-    WHEN 'FileAndManifestAgreement' THEN 'file and manifest agreement' WHEN 'NoBlockHashFound' THEN 'no block hash found' WHEN 'ManifestOnlyAgreement' THEN 'manifest-only agreement'
-    WHEN 'ConflictingIntactHashes' THEN 'conflicting intact hashes' ELSE 'intact hash without matching block' END AS status FROM d""")
+@query("election_decisions", f"""WITH {witnesses_sql(4)}, {election_sql('')} SELECT *, CASE basis WHEN 'IntactHash' THEN 'recovered block based on intact hash' WHEN 'FileAndFileAgreement' THEN 'recovered block based on file+file agreement'
+    WHEN 'FileAndManifestAgreement' THEN 'recovered block based on file+manifest agreement' ELSE 'failed to recover corrupt block [' || CASE failure WHEN 'NoBlockHashFound' THEN 'no block hash found either'
+    WHEN 'ManifestOnlyAgreement' THEN 'manifest+manifest hashes agree' WHEN 'ConflictingIntactHashes' THEN 'conflicting intact hashes' ELSE 'intact hash found but no matching file block' END || ']' END AS status FROM d""")
 def election_decisions(spark, sf_dir):
     judged = election.decide(_seen(spark, sf_dir, 4))
     return judged.select("file_id", "block_index", "elected_hash", "repair_source_index", "basis", "failure", election.status_message(F.col("basis"), F.col("failure")).alias("status"))
@@ -585,7 +585,7 @@ def copy_plan_choice(spark, sf_dir):
 
 @query("disk_backed_mounts", """WITH m AS (SELECT c_custkey, ['/', '/data', '/proc/x', '/run/user', '/mnt/a', '/boot'][CAST(c_custkey % 6 AS BIGINT) + 1] AS mp, ['ext4', 'tmpfs', 'zfs', 'nfs', 'xfs'][CAST(c_custkey % 5 AS BIGINT) + 1] AS fs,
       CASE WHEN c_custkey % 7 < 4 THEN '/dev/sda1' ELSE 'pool' END AS src FROM customer)
-    SELECT c_custkey, fs NOT IN ('tmpfs', 'nfs') AND mp NOT IN ('/proc/x', '/run/user', '/boot') AND (mp = '/' OR starts_with(src, '/dev/') OR fs = 'zfs') AS disk FROM m""")
+    SELECT c_custkey, fs NOT IN ('tmpfs', 'nfs') AND (mp = '/' OR (mp NOT IN ('/proc/x', '/run/user') AND (starts_with(src, '/dev/') OR fs = 'zfs'))) AS disk FROM m""")
 def disk_backed_mounts(spark, sf_dir):
     pick = lambda values, n: F.element_at(F.array(*[F.lit(v) for v in values]), (F.col("c_custkey") % n + 1).cast("int"))
     mount, kind = pick(["/", "/data", "/proc/x", "/run/user", "/mnt/a", "/boot"], 6), pick(["ext4", "tmpfs", "zfs", "nfs", "xfs"], 5)
