@@ -56,23 +56,36 @@ class Stage:
     """Tables written to the shared folder; they cut lineage and outlive executors.
 
     A table is read back with the schema that was written, so that an empty
-    one is as good as any other. ``drop`` deletes a table that nothing reads
-    any more.
+    one is as good as any other. ``drop`` deletes tables that nothing reads any
+    more; what a result still reads stays until ``drop_all``.
     """
 
+    made: list[Stage] = []
+
     def __init__(self, spark: SparkSession, label: str):
-        self.spark = spark
+        self.spark, self.names = spark, []
         self.root = f"{shared_dir(spark)}/blockloom/{label}-{uuid.uuid4().hex}"
+        Stage.made.append(self)
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
         df.write.mode("overwrite").parquet(path)
+        self.names.append(name)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, name: str) -> None:
+    def drop(self, *names: str) -> None:
         jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        for name in names:
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            self.names.remove(name)
+
+    @classmethod
+    def drop_all(cls) -> None:
+        """Deletes every table of this process; for when its results have been written."""
+        for stage in cls.made:
+            stage.drop(*stage.names)
+        cls.made.clear()
 
 
 def words(text: str | None) -> list[str]:

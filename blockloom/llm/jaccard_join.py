@@ -285,6 +285,7 @@ def components(stage: Stage, edges: DataFrame, rounds: int = 50) -> DataFrame:
             large.join(small, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
             .where("a <> b").distinct(), f"edges{i}",
         )
+        stage.drop(f"edges{i - 1}")
         now = checksum(edges)
         if now == seen:
             break
@@ -306,6 +307,7 @@ def _joined(stage: Stage, docs: DataFrame, threshold: float, n: int, recall: flo
     reps = sets.where("n > 0").groupBy("k1", "k2").agg(first, F.count("*").alias("copies"), least)
     reps = stage.put(reps.select("k1", "k2", "first.rid", "first.sketch", "copies", "least"), "reps")
     leaves = stage.put(_leaves(stage, reps, runs_for(threshold, recall)), "leaves")
+    stage.drop(*[n for n in stage.names if n.startswith(("level", "large"))])
 
     of_set = leaves.groupBy("rid").agg(F.sort_array(F.collect_set("leaf")).alias("leaves"))  # about one for each run
     of_set = of_set.join(reps.select("rid", "copies"), "rid").join(sets.select("rid", "grams"), "rid")
@@ -320,6 +322,7 @@ def _joined(stage: Stage, docs: DataFrame, threshold: float, n: int, recall: flo
     key = ["leaf", "left", "right"]
     tasks = tasks.repartition(*key).sortWithinPartitions(*key)
     links = stage.put(tasks.mapInArrow(lambda rows: _link(rows, threshold), "rid bigint, linked bigint, root bigint"), "links")
+    stage.drop("leaves")
 
     joined = components(stage, links.select(F.col("rid").alias("a"), F.col("root").alias("b"))).toDF("rid", "top")
     counts = links.groupBy("rid").agg(F.sum("linked").alias("linked"))

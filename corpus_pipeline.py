@@ -76,3 +76,4 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
 if __name__ == "__main__":
     session = SparkSession.builder.getOrCreate()
     run(session, sys.argv[1]).write.mode("overwrite").parquet(sys.argv[2])
+    Stage.drop_all()
