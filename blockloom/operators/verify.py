@@ -6,7 +6,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import election
-from .manifests import UNIT, intact_sha256, summary
+from .manifests import MANIFEST, UNIT, intact_sha256, summary
+
+FIELDS = ", ".join(f.replace(" ", ":") for f in MANIFEST.split(", "))
+
+
+def _judged(current: DataFrame, replicas: DataFrame, unit: int, is_intact: Column | None) -> DataFrame:
+    """A row for each block, or one without a block for an empty file, with what its file says."""
+    good = intact_sha256(F.col("manifest"), unit) if is_intact is None else is_intact
+    m, none = F.col("manifest"), F.array().cast(f"array<struct<manifest:struct<{FIELDS}>,intact:boolean>>")
+    rows = current.join(summary(replicas, good), "file_id", "left").select(
+        "file_id", m["bytes_hashed"].alias("bytes_hashed"), m["file_size"].alias("file_size"), F.coalesce("loaded", F.lit(0)).cast("bigint").alias("loaded_manifests"), F.col("agreed.file_size").alias("expected_size"),
+        F.posexplode_outer(m["block_hashes"]).alias("block_index", "current_hash"), F.col("agreed.block_hashes").alias("expected"), F.coalesce("all", none).alias("all"),
+    )
+    at, of_file = F.col("block_index"), ["bytes_hashed", "file_size", "loaded_manifests", "expected_size"]
+    fine = F.coalesce(F.get("expected", at) == F.col("current_hash"), F.lit(False))
+    votes = F.filter(F.transform("all", lambda r: F.struct(F.get(r["manifest"]["block_hashes"], at).alias("hash"), r["intact"].alias("intact"))), lambda x: x["hash"].isNotNull())
+    rows = rows.select("file_id", *of_file, at.cast("bigint").alias("block_index"), "current_hash", fine.alias("fine"), F.array("current_hash").alias("files"), F.when(fine, F.array().cast("array<struct<hash:string,intact:boolean>>")).otherwise(votes).alias("manifests"))
+    elected = F.coalesce((F.col("elected_hash") == F.col("current_hash")) & (F.col("repair_source_index") == 0), F.lit(False))
+    return election.decide(rows).withColumn("block_ok", F.col("fine") | elected)
 
 
 def verify_blocks(current: DataFrame, replicas: DataFrame, unit: int = UNIT, is_intact: Column | None = None) -> DataFrame:
@@ -14,39 +32,23 @@ def verify_blocks(current: DataFrame, replicas: DataFrame, unit: int = UNIT, is_
 
     Blocks that equal the manifest on which all intact replicas agree are fine
     at once; only the others are put to the vote of the file and its replicas.
-    Like the check it mirrors, this goes over the blocks that exist: a file cut
-    at a block boundary is found by ``verify_report``'s ``size_matches``.
+    This goes over the blocks that exist: a file cut at a block boundary is
+    found by ``verify_report``'s ``size_matches``.
     """
-    good = intact_sha256(F.col("manifest"), unit) if is_intact is None else is_intact
-    known = summary(replicas, good)
-    rows = current.join(known, "file_id", "left").select(
-        "file_id", F.posexplode("manifest.block_hashes").alias("block_index", "current_hash"), F.col("agreed.block_hashes").alias("expected"),
-        F.coalesce("all", F.array().cast("array<struct<manifest:struct<hash_type:string,file_size:bigint,block_size:bigint,bytes_hashed:bigint,block_hashes:array<string>,hash_of_hashes:string>,intact:boolean>>")).alias("all"),
-    )
-    at = F.col("block_index")
-    fine = F.coalesce(F.get("expected", at) == F.col("current_hash"), F.lit(False))
-    votes_of = F.filter(F.transform("all", lambda r: F.struct(F.get(r["manifest"]["block_hashes"], at).alias("hash"), r["intact"].alias("intact"))), lambda x: x["hash"].isNotNull())
-    none = F.array().cast("array<struct<hash:string,intact:boolean>>")
-    rows = rows.select("file_id", at.cast("bigint").alias("block_index"), "current_hash", fine.alias("fine"), F.array("current_hash").alias("files"), F.when(fine, none).otherwise(votes_of).alias("manifests"))
-    judged = election.decide(rows)
-    elected = F.coalesce((F.col("elected_hash") == F.col("current_hash")) & (F.col("repair_source_index") == 0), F.lit(False))
     clear = lambda c: F.when(~F.col("fine"), F.col(c)).alias(c)
-    return judged.select("file_id", "block_index", "current_hash", (F.col("fine") | elected).alias("block_ok"), *[clear(c) for c in ("elected_hash", "repair_source_index", "basis", "failure", "votes")])
+    shown = [clear(c) for c in ("elected_hash", "repair_source_index", "basis", "failure", "votes")]
+    return _judged(current, replicas, unit, is_intact).where("block_index is not null").select("file_id", "block_index", "current_hash", "block_ok", *shown)
 
 
 def verify_report(current: DataFrame, replicas: DataFrame, unit: int = UNIT, is_intact: Column | None = None) -> DataFrame:
     """One row per file: ``bytes_hashed, total_blocks, loaded_manifests, ok_blocks, bad_blocks, size_matches``.
 
-    ``size_matches`` is null without a manifest that the intact replicas agree on.
+    ``size_matches`` is null without a manifest that the intact replicas agree
+    on. Files and replicas are read once; a file's facts travel with its blocks.
     """
-    good = intact_sha256(F.col("manifest"), unit) if is_intact is None else is_intact
-    ok = verify_blocks(current, replicas, unit, is_intact).groupBy("file_id").agg(F.count_if("block_ok").alias("ok"))
-    known = summary(replicas, good).select("file_id", "loaded", F.col("agreed.file_size").alias("expected"))
-    m = F.col("manifest")
-    rows = current.join(ok, "file_id", "left").join(known, "file_id", "left")
-    total = F.size(m["block_hashes"]).cast("bigint")
-    fine = F.coalesce("ok", F.lit(0)).cast("bigint")
-    return rows.select(
-        "file_id", m["bytes_hashed"].alias("bytes_hashed"), total.alias("total_blocks"), F.coalesce("loaded", F.lit(0)).cast("bigint").alias("loaded_manifests"),
-        fine.alias("ok_blocks"), (total - fine).alias("bad_blocks"), (F.col("expected") == m["file_size"]).alias("size_matches"),
+    there = F.col("block_index").isNotNull()
+    rows = _judged(current, replicas, unit, is_intact).groupBy("file_id").agg(
+        F.first("bytes_hashed").alias("bytes_hashed"), F.count("block_index").alias("total_blocks"), F.first("loaded_manifests").alias("loaded_manifests"),
+        F.count_if(there & F.col("block_ok")).alias("ok_blocks"), F.count_if(there & ~F.col("block_ok")).alias("bad_blocks"), (F.first("expected_size") == F.first("file_size")).alias("size_matches"),
     )
+    return rows
