@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import base64
 import math
+import re
 import zlib
 from functools import lru_cache
 
@@ -27,6 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .byte_bpe import codec
 from .common import Stage, batches, only, strings
 
 WINDOW = 2048
@@ -109,6 +111,17 @@ def _encoder(ranks_path: str, pattern: str, special: tuple[tuple[str, int], ...]
     return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens=dict(special))
 
 
+def _ids(text: str, enc: tiktoken.Encoding, ranks_path: str, pattern: str, special: dict[str, int]) -> np.ndarray:
+    """The text's ids. Runs of white space too long for the library's matcher are left to our own encoder."""
+    try:
+        return enc.encode_to_numpy(text, allowed_special="all")
+    except ValueError:
+        own, out = codec(ranks_path, pattern), []
+        for part in re.split("(" + "|".join(map(re.escape, special)) + ")", text) if special else [text]:
+            out.append([special[part]] if part in special else np.frombuffer(own.encode_packed(part), "<u4"))
+        return np.concatenate([np.asarray(o, np.uint32) for o in out])
+
+
 def tokenized(
     docs: DataFrame, ranks_path: str, pattern: str, end_id: int, special: dict[str, int], window: int = WINDOW,
     id_col: str = "doc_id", text_col: str = "text",
@@ -132,7 +145,7 @@ def tokenized(
         for batch in batches(rows, 2_000_000):
             out: tuple[list, ...] = ([], [], [], [], [], [], [])
             for doc_id, text in zip(batch.column(0).to_pylist(), strings(batch.column(1)), strict=True):
-                ids = np.append(enc.encode_to_numpy(text or "", allowed_special="all"), end_id).astype("<u4")
+                ids = np.append(_ids(text or "", enc, ranks_path, pattern, special), end_id).astype("<u4")
                 for cut, at in enumerate(range(0, len(ids), window)):
                     piece = ids[at : at + window]
                     stored = piece.astype(kept).tobytes() if len(piece) < window else None

@@ -355,6 +355,11 @@ def test_packing_of_equal_lengths(spark):
     check_packing(queries.packed(spark, spark.createDataFrame(rows, "doc_id bigint, text string")).collect(), rows)
 
 
+def test_packing_of_very_long_runs(spark):
+    rows = [(1, "a<|endoftext|>" + " " * 600_000 + "b"), (2, "z" * 300_000), (3, "\n" * 200_000)]
+    check_packing(queries.packed(spark, spark.createDataFrame(rows, "doc_id bigint, text string")).collect(), rows)
+
+
 def test_least_squares():
     rng = np.random.default_rng(1)
     for _ in range(20):
