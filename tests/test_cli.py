@@ -7,7 +7,7 @@ import random
 import pytest
 
 from blockloom import cli
-from blockloom.plans import config, copy_plan, tuner
+from blockloom.plans import config, copy_plan, devices, tuner
 
 
 @pytest.fixture
@@ -96,3 +96,32 @@ def test_copy_plans():
     assert copy_plan.resolve("auto", "auto", "auto", "auto", "heuristic", (True, True, 100, 69), True).label == copy_plan.LABELS["direct"]
     assert copy_plan.resolve("reflink", "auto", "auto", "auto", "direct", state, True).strategy == "reflink"
     assert copy_plan.resolve("auto", "auto", "direct", "auto", "heuristic", state, True).label == "explicit io-mode threaded"
+
+
+STATUS = """  pool: tank
+ state: ONLINE
+config:
+
+\tNAME          STATE     READ WRITE CKSUM
+\ttank          ONLINE       0     0     0
+\t  mirror-0    ONLINE       0     0     0
+\t    nvme0n1   ONLINE       0     0     0
+\t    nvme1n1   FAULTED      0     0     0  was /dev/nvme1n1p1
+\t  sda         ONLINE       0     0     0
+\tlogs
+\t  sdb         ONLINE       0     0     0
+
+errors: No known data errors
+"""
+
+
+def test_devices(spark, tmp_path):
+    found = [(d["name"], d["state"], d["was"], d["groups"]) for d in devices.pool_devices(STATUS)]
+    assert found == [("nvme0n1", "ONLINE", None, ["mirror-0"]), ("nvme1n1", "FAULTED", "/dev/nvme1n1p1", ["mirror-0"]), ("sda", "ONLINE", None, []), ("sdb", "ONLINE", None, ["logs"])]
+    assert devices.pool_devices("") == [] and devices.pool_properties("sync\tstandard\nx\n\t1\n") == {"sync": "standard"}
+    (tmp_path / "md0" / "md").mkdir(parents=True)
+    (tmp_path / "md0" / "md" / "level").write_text("raid0\n")
+    (tmp_path / "md0" / "slaves" / "nvme0n1").mkdir(parents=True)
+    made = devices.describe({"mount_point": "/d", "fstype": "ext4", "source": "/dev/md0"}, str(tmp_path))
+    assert (made["dev_kind"], made["md_level"], made["members"]) == ("md", "raid0", ["nvme0n1"])
+    assert devices.devices(spark).count() > 0 and devices.command("no-such-tool") is None
