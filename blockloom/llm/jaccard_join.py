@@ -35,11 +35,11 @@ from .common import NEAR, SHINGLE_WORDS, Memo, Stage, batches, only, strings, wo
 COORDS = 64
 #: Most levels of the recursion, and sets of a bucket that is compared at once.
 LEVELS = 16
-LEAF = 128
+LEAF = 1024
 #: Sets of a block, where a larger bucket is compared.
 BLOCK = 1024
 #: Average similarity from which a bucket is compared and not split.
-ALIKE = 0.7
+ALIKE = 0.6
 #: One in so many buckets has two children for each set: 1.25 on average, the inverse of the least similarity.
 FORK = 4
 TARGET_RECALL = 0.999
