@@ -10,7 +10,10 @@ token go on together. A bucket of at most ``LEAF`` sets is a leaf and is
 compared by brute force; so is a larger bucket whose sets are alike on average,
 as its links are then about as many as its pairs: it is dealt into blocks, and
 every pair of blocks is a task of its own. Runs are repeated until a pair at
-the threshold is missed with a probability below the target.
+the threshold is missed with a probability below the target. How many that
+takes grows with the number of splits, so the runs of a round end after a
+number of splits, and the sets of buckets that are still large then go on to
+the next round: more runs, each with fresh coordinates of its own.
 
 A pair may meet in several leaves; only the least of its common leaves counts
 it, which both sets' lists of leaves decide without any exchange. What leaves a
@@ -45,6 +48,10 @@ FORK = 4
 TARGET_RECALL = 0.999
 #: A pair is taken to be split at this many levels before its bucket is small.
 USUAL_DEPTH = 3
+#: Splits after which the runs of a round end; what the last leaves is compared whatever its size.
+ROUNDS = (USUAL_DEPTH, 6, LEVELS)
+#: Coordinates of each run of the later rounds.
+RUN_COORDS = 32
 _WORDS_KEPT = 200_000
 _CHUNK = 8192
 
@@ -54,9 +61,22 @@ def runs_for(threshold: float, recall: float, depth: int = USUAL_DEPTH) -> int:
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - threshold**depth)))
 
 
-def _coefficients() -> tuple[np.ndarray, np.ndarray]:
-    rng = np.random.default_rng(20240229)
-    return rng.integers(1, 1 << 63, COORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 63, COORDS, dtype=np.uint64)
+def kept_for(threshold: float, splits: int) -> float:
+    """Probability that a pair at the threshold is together in some fork of a run after so many splits."""
+    kept = 1.0
+    for _ in range(splits - 1):
+        kept = (1 - 1 / FORK) * threshold * kept + (1 - (1 - threshold * kept) ** 2) / FORK
+    return threshold * kept
+
+
+def later_runs_for(threshold: float, recall: float, splits: int) -> int:
+    """Runs of a later round; each of these rounds may miss a quarter of what the target allows."""
+    return max(1, math.ceil(math.log((1 - recall) / 4) / math.log(1 - min(kept_for(threshold, splits), 1 - 1e-9))))
+
+
+def _coefficients(coords: int = COORDS, number: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng([20240229, number] if number else 20240229)
+    return rng.integers(1, 1 << 63, coords, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 63, coords, dtype=np.uint64)
 
 
 def shingles(hashes: np.ndarray, n: int = SHINGLE_WORDS) -> np.ndarray:
@@ -73,9 +93,10 @@ def shingles(hashes: np.ndarray, n: int = SHINGLE_WORDS) -> np.ndarray:
 
 def signature(found: np.ndarray, mult: np.ndarray, add: np.ndarray) -> np.ndarray:
     """The set's min-hash tokens."""
-    least = np.full(COORDS, np.iinfo(np.uint32).max, np.uint32)
-    for at in range(0, len(found), _CHUNK):
-        part = found[at : at + _CHUNK]
+    least = np.full(len(mult), np.iinfo(np.uint32).max, np.uint32)
+    chunk = max(1, _CHUNK * COORDS // len(mult))
+    for at in range(0, len(found), chunk):
+        part = found[at : at + chunk]
         least = np.minimum(least, ((part[:, None] * mult + add) >> np.uint64(32)).min(0).astype(np.uint32))
     return least
 
@@ -118,54 +139,93 @@ def shingle_sets(docs: DataFrame, n: int = SHINGLE_WORDS, text_col: str = "text"
     return rows.mapInArrow(run, f"rid bigint, k1 bigint, k2 bigint, n bigint, sketch array<int>, grams binary{kinds}")
 
 
-def _child(bucket, branch, sketch):
+def fresh_sketches(sets: DataFrame, coords: int, number: int) -> DataFrame:
+    """``rid, sketch`` of ``rid, grams``: min-hash tokens by coordinates that no other round has."""
+
+    def run(rows):
+        mult, add = _coefficients(coords, number)
+        for batch in rows:
+            out = []
+            for grams in batch.column(1):
+                found = np.frombuffer(grams.as_py(), np.uint32).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+                out.append(signature(found ^ (found >> np.uint64(32)), mult, add).view(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32()))], names=["rid", "sketch"])
+
+    return sets.select("rid", "grams").mapInArrow(run, "rid bigint, sketch array<int>")
+
+
+def _child(bucket, branch, sketch, first, width):
     """The bucket that a set of a bucket goes to: the path's hash samples the coordinate, the set's token there splits."""
-    at = F.pmod(F.xxhash64(bucket, branch), F.lit(COORDS)).cast("int")
+    at = (first + F.pmod(F.xxhash64(bucket, branch), F.lit(width))).cast("int")
     return F.xxhash64(bucket, branch, at, F.get(sketch, at))
 
 
 def _similar(large: DataFrame) -> DataFrame:
     """``bucket``s whose sets are alike on average, by the tokens that each shares with one of them."""
+    large = large.withColumn("sketch", F.slice("sketch", 1, COORDS))
     one = large.groupBy("bucket").agg(F.min_by("sketch", "rid").alias("one"))
     equal = F.aggregate(F.zip_with("sketch", "one", lambda a, b: (a == b).cast("int")), F.lit(0), lambda n, x: n + x)
-    return large.join(one, "bucket").groupBy("bucket").agg((F.avg(equal) >= ALIKE * COORDS).alias("alike")).where("alike")
+    return large.join(one, "bucket").groupBy("bucket").agg((F.avg(equal / F.size("one")) >= ALIKE).alias("alike")).where("alike")
 
 
-def _leaves(stage: Stage, reps: DataFrame, runs: int) -> DataFrame:
-    """``rid, leaf, members``: the buckets to compare, each set of members once.
+def _round(stage: Stage, sketches: DataFrame, number: int, runs: int, splits: int) -> tuple[DataFrame, DataFrame | None]:
+    """``rid, members, x, y`` of the round's leaves, and the ``rid``s of buckets that are large after its splits.
 
     All sets of a bucket follow the same sampled coordinates, so the recursion
     is a join of sets with the sizes of their buckets, level by level. One in
     ``FORK`` buckets splits by two coordinates, into as many children as keep a
     pair at the threshold together once on average, however deep it goes.
     """
-    sketches = reps.select("rid", "sketch")
+    width = RUN_COORDS if number else COORDS
+    first = (F.col("run") - 1) * (width if number else 0)
     root = F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(runs).cast("bigint")))
-    active = sketches.withColumn("run", root).select("rid", _child(F.col("run"), F.lit(0), F.col("sketch")).alias("bucket"))
+    active = sketches.withColumn("run", root).select("rid", "run", _child(F.col("run"), F.lit(0), F.col("sketch"), first, width).alias("bucket"))
     leaves = None
-    for level in range(LEVELS):
+    for level in range(splits):
         sized = active.groupBy("bucket").agg(
             F.count("*").alias("members"), F.bit_xor(F.xxhash64("rid")).alias("x"), F.bit_xor(F.xxhash64("rid", F.lit(1))).alias("y")
         ).where("members > 1")
-        found = stage.put(active.join(sized, "bucket"), f"level{level}")
+        found = stage.put(active.join(sized, "bucket"), f"level{number}_{level}")
         small = found.where(F.col("members") <= LEAF)
         large = found.where(F.col("members") > LEAF)
         if level == LEVELS - 1:
-            small = found
+            small, large = found, None
         elif large.isEmpty():
             large = None
         else:
             # Where most sets are alike, splitting only parts what must be compared anyway.
             large = large.join(sketches, "rid")
-            large = stage.put(large.join(_similar(large), "bucket", "left").withColumn("alike", F.coalesce("alike", F.lit(False))), f"large{level}")
+            large = stage.put(large.join(_similar(large), "bucket", "left").withColumn("alike", F.coalesce("alike", F.lit(False))), f"large{number}_{level}")
             small = small.unionByName(large.where("alike").drop("sketch", "alike"))
+            large = large.where("not alike")
         small = small.select("rid", "members", "x", "y")
         leaves = small if leaves is None else leaves.unionByName(small)
-        if level == LEVELS - 1 or large is None:
-            break
+        if large is None:
+            return leaves, None
         forked = F.pmod(F.xxhash64("bucket", F.lit(level)), F.lit(FORK)) == 0
         branches = F.explode(F.when(forked, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("branch")
-        active = large.where("not alike").select("rid", "bucket", "sketch", branches).select("rid", _child(F.col("bucket"), F.col("branch"), F.col("sketch")).alias("bucket")).distinct()
+        active = large.select("rid", "run", "bucket", "sketch", branches)
+        active = active.select("rid", "run", _child(F.col("bucket"), F.col("branch"), F.col("sketch"), first, width).alias("bucket")).distinct()
+    return leaves, large.select("rid").distinct()
+
+
+def _leaves(stage: Stage, sets: DataFrame, reps: DataFrame, threshold: float, recall: float) -> DataFrame:
+    """``rid, leaf, members``: the buckets to compare, each set of members once.
+
+    A pair that is together after a round's splits is in a leaf, or both its
+    sets are in a large bucket and so both in the next round.
+    """
+    leaves, left = _round(stage, reps.select("rid", "sketch"), 0, runs_for(threshold, recall), ROUNDS[0])
+    for number, splits in enumerate(ROUNDS[1:], 1):
+        if left is None:
+            break
+        left = stage.put(left, f"left{number}")
+        if left.isEmpty():
+            break
+        runs = later_runs_for(threshold, recall, splits)
+        fresh = stage.put(fresh_sketches(sets.join(left, "rid", "left_semi"), runs * RUN_COORDS, number), f"fresh{number}")
+        more, left = _round(stage, fresh, number, runs, splits)
+        leaves = leaves.unionByName(more)
     # Buckets of the same members are one leaf, named by the hashes of the members.
     return leaves.select("rid", F.xxhash64("members", "x", "y").alias("leaf"), "members").distinct()
 
@@ -306,8 +366,8 @@ def _joined(stage: Stage, docs: DataFrame, threshold: float, n: int, recall: flo
     least = F.min(keep[0]).alias("least") if keep else F.lit(None).alias("least")
     reps = sets.where("n > 0").groupBy("k1", "k2").agg(first, F.count("*").alias("copies"), least)
     reps = stage.put(reps.select("k1", "k2", "first.rid", "first.sketch", "copies", "least"), "reps")
-    leaves = stage.put(_leaves(stage, reps, runs_for(threshold, recall)), "leaves")
-    stage.drop(*[n for n in stage.names if n.startswith(("level", "large"))])
+    leaves = stage.put(_leaves(stage, sets, reps, threshold, recall), "leaves")
+    stage.drop(*[n for n in stage.names if n.startswith(("level", "large", "left", "fresh"))])
 
     of_set = leaves.groupBy("rid").agg(F.sort_array(F.collect_set("leaf")).alias("leaves"))  # about one for each run
     of_set = of_set.join(reps.select("rid", "copies"), "rid").join(sets.select("rid", "grams"), "rid")

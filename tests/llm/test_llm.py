@@ -179,6 +179,31 @@ def test_jaccard_join_equals_brute_force(spark, monkeypatch):
     assert sorted(root[r["doc_id"]] for r in kept) == sorted(set(root))
 
 
+def missed_pairs(splits, runs, coords, fresh, pairs=3000, similarity=0.8):
+    """Share of simulated pairs that no run keeps together; the runs share their coordinates unless they are fresh."""
+    rng, missed = random.Random(splits), 0
+    for _ in range(pairs):
+        equal = [rng.random() < similarity for _ in range(coords)]
+        for _ in range(runs):
+            if fresh:
+                equal = [rng.random() < similarity for _ in range(coords)]
+            forks = int(rng.choice(equal))
+            for _ in range(splits - 1):
+                forks = sum(rng.choice(equal) for _ in range(forks) for _ in range(1 + (rng.randrange(jaccard_join.FORK) == 0)))
+            if forks:
+                break
+        else:
+            missed += 1
+    return missed / pairs
+
+
+def test_jaccard_join_runs_follow_the_splits():
+    assert missed_pairs(7, jaccard_join.runs_for(0.8, 0.999), jaccard_join.COORDS, False) > 0.01  # why later rounds are needed
+    assert jaccard_join.ROUNDS[0] == jaccard_join.USUAL_DEPTH and jaccard_join.ROUNDS[-1] == jaccard_join.LEVELS
+    for splits in jaccard_join.ROUNDS[1:]:
+        assert missed_pairs(splits, jaccard_join.later_runs_for(0.8, 0.999, splits), jaccard_join.RUN_COORDS, True) <= 0.002
+
+
 def test_jaccard_join_of_odd_rows(spark, odd):
     got = sorted((r["doc_id"] or -1, r["class_id"] if r["class_id"] is not None else -1, r["n_links"]) for r in jaccard_join.jaccard_join(spark, odd).collect())
     assert got == [(-1, 4, 2), (1, 1, 0), (2, 2, 0), (3, 3, 0), (4, 4, 2), (4, 4, 2), (5, 5, 0), (6, 6, 0), (7, 7, 0), (8, 8, 0), (9, 9, 0), (10, 10, 0)]
