@@ -102,8 +102,8 @@ def strings(column: pa.ChunkedArray | pa.Array) -> list[str | None]:
     return column.to_pylist()
 
 
-def batches(rows: Iterable[pa.RecordBatch], most_chars: int = 8_000_000, text: str = "text") -> Iterator[pa.RecordBatch]:
-    """The same rows in slices of bounded text, so that long texts do not add up."""
+def batches(rows: Iterable[pa.RecordBatch], most_chars: int = 8_000_000, text: str = "text", most_rows: int = 2048) -> Iterator[pa.RecordBatch]:
+    """The same rows in slices of bounded text and number, so that neither long texts nor what short ones give add up."""
     for batch in rows:
         column = batch.column(batch.schema.get_field_index(text))
         at, n = 0, batch.num_rows
@@ -111,7 +111,7 @@ def batches(rows: Iterable[pa.RecordBatch], most_chars: int = 8_000_000, text: s
         ends = np.cumsum(sizes, dtype=np.int64)
         while at < n:
             before = ends[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(ends, before + most_chars, side="right")))
+            to = min(at + most_rows, max(at + 1, int(np.searchsorted(ends, before + most_chars, side="right"))))
             yield batch.slice(at, to - at)
             at = to
 
@@ -119,17 +119,20 @@ def batches(rows: Iterable[pa.RecordBatch], most_chars: int = 8_000_000, text: s
 class Memo(dict):
     """A dictionary that computes what it lacks and stops growing at a bound.
 
-    The bound keeps a worker's memory fixed; beyond it values are computed
-    anew each time, so results never depend on it.
+    The bound keeps a worker's memory fixed; beyond it, and for keys of
+    ``KEY`` or more characters, values are computed anew each time, so results
+    never depend on it.
     """
 
+    KEY = 64
+
     def __init__(self, make, most: int):
         super().__init__()
         self.make, self.most = make, most
 
     def __missing__(self, key):
         value = self.make(key)
-        if len(self) < self.most:
+        if len(self) < self.most and len(key) < self.KEY:
             self[key] = value
         return value
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,9 +55,10 @@ def sample_ids(rows: DataFrame, most: int, id_col: str = "doc_id") -> list:
     return [r["id"] for r in ids.orderBy(F.xxhash64("id"), "id").limit(most).collect()]
 
 
-def fold_of(ids: np.ndarray, folds: int = FOLDS) -> np.ndarray:
-    """A fold for each id, by a hash."""
-    h = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+def fold_of(ids: Sequence, folds: int = FOLDS) -> np.ndarray:
+    """A fold for each id, by a hash; ids that are no integers count by how they are written."""
+    whole = [i if isinstance(i, int | np.integer) else xxhash.xxh3_64_intdigest(str(i).encode("utf-8", "surrogatepass")) >> 1 for i in ids]
+    h = np.array(whole, np.int64).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     return ((h >> np.uint64(33)) % np.uint64(folds)).astype(np.int64)
 
 

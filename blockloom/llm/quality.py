@@ -106,7 +106,7 @@ class CoTrained:
         return sigmoid(a), sigmoid(b), sigmoid(a + b - self.prior)
 
 
-def co_train(ids: np.ndarray, y: np.ndarray, text: np.ndarray, numbers: np.ndarray, codes: np.ndarray, rounds: int = ROUNDS, threshold: float = 0.5) -> CoTrained:
+def co_train(ids: Sequence, y: np.ndarray, text: np.ndarray, numbers: np.ndarray, codes: np.ndarray, rounds: int = ROUNDS, threshold: float = 0.5) -> CoTrained:
     """Fit both views; ``y`` is 0, 1 or, for the unlabelled pool, -1."""
     none = np.zeros((len(ids), 0), np.int64)
     views = [View().prepare(text), View().prepare(numbers)]
@@ -174,7 +174,7 @@ def train_quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, label
     got = rows.mapInArrow(run, f"doc_id {kind}, x array<double>, lang string, source string, n_chars double, y int").collect()
     got.sort(key=lambda r: r["doc_id"])
     return co_train(
-        np.array([r["doc_id"] for r in got], np.int64), np.array([r["y"] for r in got], np.int64),
+        [r["doc_id"] for r in got], np.array([r["y"] for r in got], np.int64),
         np.array([r["x"] for r in got], float).reshape(len(got), TEXT_FEATURES), _numbers([r["n_chars"] for r in got]).reshape(len(got), META_NUMBERS),
         _codes([[r[c] for r in got] for c in META]),
     )

@@ -1,6 +1,7 @@
 """The training-data operators against brute force, libraries and held-out labels."""
 
 import hashlib
+import math
 import random
 import zlib
 
@@ -334,6 +335,100 @@ def test_classifiers_on_odd_rows(spark, odd, docs):
         assert run(spark, mixed, broken).count() == len(ODD) + docs.count()
 
 
+def test_classifiers_take_any_id_and_language(spark, docs):
+    """Ids that are strings, and a language whose name is no column name."""
+    labels = spark.read.parquet(f"{DATA}/labels.parquet").withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
+    named = docs.withColumn("doc_id", F.concat(F.lit("d"), "doc_id")).withColumn("lang", F.when(F.col("doc_id").like("%1"), F.lit("a`b .c")).otherwise(F.col("lang")))
+    for run in (quality.quality, toxicity.toxicity):
+        assert run(spark, named, labels).count() == docs.count()
+
+
+def plain_logistic(x, y, ridge, steps=15):
+    """Newton's method in plain loops."""
+    n, d = len(x), len(x[0]) if x else 0
+    prior = (sum(y) + 0.5) / (n + 1)
+    w = [0.0] * d + [math.log(prior / (1 - prior))]
+    if n == 0 or min(y) == max(y):
+        return w
+    keep = [ridge] * d + [1e-6]
+    for _ in range(steps):
+        gradient, hessian = [k * v for k, v in zip(keep, w)], [[keep[i] if i == j else 0.0 for j in range(d + 1)] for i in range(d + 1)]
+        for row, target in zip(x, y):
+            row = [*row, 1.0]
+            p = 1 / (1 + math.exp(-max(-35, min(35, sum(a * b for a, b in zip(row, w))))))
+            for i, a in enumerate(row):
+                gradient[i] += a * (p - target)
+                for j, b in enumerate(row):
+                    hessian[i][j] += a * b * (p * (1 - p) + 1e-6)
+        step = np.linalg.solve(hessian, gradient)
+        step = step * min(1.0, 10.0 / (max(map(abs, step)) + 1e-12))
+        w = [a - b for a, b in zip(w, step)]
+        if max(map(abs, step)) < 1e-5:
+            break
+    return w
+
+
+def plain_chain(rows, ys):
+    """Scores of the last category for ``(id, text)`` rows, all of them labelled, as the chain must give them."""
+    import re
+
+    sets = []
+    for _, text in rows:
+        held = {}
+        for w in set(re.findall(r"\w+", (text or "").lower())):
+            for f in toxicity.features_of(w):
+                held[f] = held.get(f, 0) + 1
+        sets.append(held)
+    total, chosen = len(rows), []
+    for y in ys:
+        n, n1 = {}, {}
+        for held, v in zip(sets, y):
+            for f in held:
+                n[f], n1[f] = n.get(f, 0) + 1, n1.get(f, 0) + v
+        chi = {f: round((n1[f] - c * sum(y) / total) ** 2 / (c * sum(y) / total), 9) for f, c in n.items() if c >= toxicity.LEAST_DOCS} if 0 < sum(y) < total else {}
+        chosen.append([f for f in sorted(chi, key=lambda f: (-chi[f], f)) if chi[f] > 0][: toxicity.FEATURES])
+    folds = toxicity.fold_of([i for i, _ in rows])
+    fitted, earlier = [], [[] for _ in rows]  # out-of-fold, for training
+    dot = lambda row, w: sum(a * b for a, b in zip(row, w)) + w[-1]
+    squash = lambda z: 1 / (1 + math.exp(-max(-35, min(35, z))))
+    for y, feats in zip(ys, chosen):
+        x = [[float(h.get(f, 0)) for f in feats] + e for h, e in zip(sets, earlier)]
+        fitted.append(plain_logistic(x, y, toxicity._RIDGE))
+        out = [0.0] * total
+        for k in set(folds.tolist()):
+            w = plain_logistic([r for r, f in zip(x, folds) if f != k], [v for v, f in zip(y, folds) if f != k], toxicity._RIDGE)
+            out = [squash(dot(r, w)) if f == k else o for r, f, o in zip(x, folds, out)]
+        earlier = [e + [o] for e, o in zip(earlier, out)]
+    scores = []
+    for h in sets:
+        p = []
+        for feats, w in zip(chosen, fitted):
+            p.append(squash(dot([float(h.get(f, 0)) for f in feats] + p, w)))
+        scores.append(p[-1])
+    return scores
+
+
+def test_toxicity_equals_plain_loops(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "FEATURES", 6)
+    monkeypatch.setattr(toxicity.best_features, "__defaults__", (6,))
+    rng = random.Random(8)
+    vocabulary = {"en": ["vile", "mean"], "de": ["mies"], "xx": ["brr"]}
+    rows, bad = [], []
+    for i in range(90):
+        lang = rng.choice(["en", "en", "de", "xx"])
+        said = rng.choices("the a of und ist da la".split(), k=8)
+        bad.append(int(rng.random() < 0.4))
+        rows.append((i, " ".join(said + [rng.choice(vocabulary[lang])] * bad[-1]), lang))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    labels = spark.createDataFrame([(i, b) for i, b in enumerate(bad)], "doc_id bigint, toxic int")
+    count = {lang: sum(b for r, b in zip(rows, bad) if r[2] == lang) for lang in vocabulary}
+    order = sorted(count, key=lambda lang: (-count[lang], lang))
+    ys = [[b * (r[2] == lang) for r, b in zip(rows, bad)] for lang in order] + [[0] * len(rows), bad]
+    want = plain_chain([r[:2] for r in rows], ys)
+    got = {r["doc_id"]: (r["score"], r["toxic"]) for r in toxicity.toxicity(spark, docs, labels).collect()}
+    assert all(abs(got[i][0] - want[i]) < 2e-6 and got[i][1] == (got[i][0] >= 0.5) for i in range(len(rows)))
+
+
 def test_views_exchange_labels():
     rng = np.random.default_rng(0)
     n = 600
