@@ -111,7 +111,7 @@ class ParallelFile:
         """The file's block-hash manifest; only digests come to the driver's aggregate."""
         manifests.check_block_size(block_size)
         rows = self.spark.read.format("blocks").option("block_size", block_size).load(self.path)
-        digest = digests.xxh3("data") if hash_type == "xxh3" else F.sha2("data", 256)
+        digest = digests.block_digest(F.col("data"), hash_type)
         hashed = rows.select(F.lit(0).cast("bigint").alias("file_id"), "block_index", "file_size", digest.alias("hash"))
         row = manifests.build_from_blocks(hashed, block_size, hash_type).select("manifest.*").first()
         if row is None:
@@ -362,32 +362,42 @@ def copy_file_via_memory(spark: SparkSession, source: str, target: str, lock: bo
     return os.path.getsize(source)
 
 
+def _paired_digests(spark: SparkSession, first: str, second: str, block_size: int, how: str) -> DataFrame:
+    """``block_index, a, b``: the digests of two files' blocks; no data leaves its task."""
+    def of(path: str, name: str) -> DataFrame:
+        return open_file(spark, path, block_size).blocks().select("block_index", F.sha2("data", 256).alias(name))
+
+    return of(first, "a").join(of(second, "b"), "block_index", how)
+
+
 def copy_changed(spark: SparkSession, source: str, target: str, block_size: int = 1 << 20) -> dict[str, int]:
-    """Brings a target up to the source by writing only blocks that differ; returns counts."""
-    a = open_file(spark, source, block_size).blocks().select("block_index", "offset", F.col("data").alias("a"))
+    """Brings a target up to the source by writing only blocks that differ, in place; returns counts.
+
+    Digests decide; then only blocks that changed are read again and written.
+    """
     if not os.path.exists(target):
         open(target, "wb").close()
-    b = open_file(spark, target, block_size).blocks().select("block_index", F.col("data").alias("b"))
-    pairs = a.join(b, "block_index", "left")
     action = F.when(F.col("b").isNull(), "appended").when(F.col("a") == F.col("b"), "kept").otherwise("replaced")
-    # Only digests decide and only changed blocks travel to the writer.
-    rows = pairs.withColumn("action", action)
-    counts = {r["action"]: r["n"] for r in rows.groupBy("action").agg(F.count("*").alias("n")).collect()}
+    judged = _paired_digests(spark, source, target, block_size, "left").select("block_index", action.alias("action")).persist()
+    counts = {r["action"]: r["n"] for r in judged.groupBy("action").agg(F.count("*").alias("n")).collect()}
     total = os.path.getsize(source)
-    write_blocks(rows.where("action <> 'kept'").select("offset", F.col("a").alias("data")), target, total, truncate=False)
+    changed = open_file(spark, source, block_size).blocks().join(judged.where("action <> 'kept'"), "block_index", "left_semi")
+    write_blocks(changed.select("offset", "data"), target, total, truncate=False)
+    judged.unpersist()
     return {"bytes_copied": total, **{k: counts.get(k, 0) for k in ("kept", "replaced", "appended")}}
 
 
 def diff(spark: SparkSession, first: str, second: str, block_size: int = 1 << 20) -> int | None:
     """The smallest offset, up to the shorter length, at which two files differ; None if there is none."""
-    a = open_file(spark, first, block_size).blocks().select("block_index", "offset", F.col("data").alias("a"))
-    b = open_file(spark, second, block_size).blocks().select("block_index", F.col("data").alias("b"))
-    n = F.least(F.octet_length("a"), F.octet_length("b"))
-    differing = a.join(b, "block_index").where(F.substring(F.col("a"), F.lit(1), n) != F.substring(F.col("b"), F.lit(1), n))
-    row = differing.agg(F.min_by(F.struct("offset", "a", "b"), "offset").alias("d")).first()["d"]
-    if row is None:
+    at = _paired_digests(spark, first, second, block_size, "inner").where("a <> b").agg(F.min("block_index")).first()[0]
+    if at is None:
         return None
-    return row["offset"] + next(i for i, (x, y) in enumerate(zip(row["a"], row["b"], strict=False)) if x != y)
+    with open(first, "rb") as a, open(second, "rb") as b:
+        for f in (a, b):
+            f.seek(at * block_size)
+        pair = zip(a.read(block_size), b.read(block_size), strict=False)
+    # Where only the shorter file's end makes the blocks differ, it is their last common one.
+    return next((at * block_size + i for i, (x, y) in enumerate(pair) if x != y), None)
 
 
 # --- manifests ----------------------------------------------------------------------
@@ -429,8 +439,10 @@ def verify_file(spark: SparkSession, path: str, base: str | None = None, block_s
 def recover_file(spark: SparkSession, target: str, copies: list[str], base: str | None = None, mode: str = recover.STANDARD, block_size: int = 1 << 20) -> RecoverReport:
     """Repairs a file, or in place all copies of it, from the blocks that the vote elects.
 
-    Hashes are taken on the executors; decisions are made for blocks that are
-    not plainly fine. A repaired file is a new file that takes the old one's place.
+    Hashes are taken on the executors. A block is copied from the first file
+    that held the elected hash before any repair. All blocks are read and
+    written by tasks, into the damaged places only, and hashed again before
+    any sidecar is refreshed.
     """
     paths = [target, *copies]
     bases = [base or default_base(target), *map(default_base, copies)]
@@ -443,6 +455,7 @@ def recover_file(spark: SparkSession, target: str, copies: list[str], base: str
     own = stored.where("file_id = 0")
     fast = fell = False
     now = [open_file(spark, target, 1 << 20).manifest(kind, size)]
+    length = now[0]["file_size"]
     if mode == recover.FAST:
         good = manifests.summary(own, manifests.intact(F.col("manifest"))).first()
         agreed = good["agreed"] if good is not None else None
@@ -459,6 +472,7 @@ def recover_file(spark: SparkSession, target: str, copies: list[str], base: str
     fixes: dict[int, dict[int, int]] = {}
     failed = []
     targets = range(len(paths)) if mode == recover.IN_PLACE_ALL else [0]
+    found = [list(m["block_hashes"]) for m in now]
     for i in range(0 if fast else len(now[0]["block_hashes"])):
         votes = [(m["block_hashes"][i], ok) for _, m, ok in kept if i < len(m["block_hashes"])]
         for t in targets:
@@ -467,20 +481,22 @@ def recover_file(spark: SparkSession, target: str, copies: list[str], base: str
             if elected == have[t]:
                 continue
             if source is not None and source != t:
-                fixes.setdefault(t, {})[i] = source
+                fixes.setdefault(t, {})[i] = next(j for j, hashes in enumerate(found) if hashes[i] == elected)
                 now[t]["block_hashes"][i] = elected
             else:
                 failed.append({"file_index": t, "path": paths[t], "block_index": i, "current_hash": have[t], "basis": basis, "failure": failure})
     refreshed = 0
     for t, plan in fixes.items():
-        with replacing(paths[t], sync=True) as temp:
-            shutil.copyfile(paths[t], temp)
-            with open(temp, "r+b") as out:
-                for i, source in plan.items():
-                    with open(paths[source], "rb") as f:
-                        f.seek(i * size)
-                        out.seek(i * size)
-                        out.write(f.read(size))
+        donors = [open_file(spark, paths[d], size).blocks().where(F.col("block_index").isin([i for i in plan if plan[i] == d])) for d in sorted(set(plan.values()))]
+        rows = donors[0].select("offset", "data")
+        for other in donors[1:]:
+            rows = rows.unionByName(other.select("offset", "data"))
+        write_blocks(rows, paths[t], length, truncate=False, sync=True)
+    for t, plan in fixes.items():
+        written = open_file(spark, paths[t], size).blocks().where(F.col("block_index").isin(list(plan)))
+        wrong = [r["block_index"] for r in written.select("block_index", digests.block_digest(F.col("data"), kind).alias("h")).collect() if r["h"] != now[t]["block_hashes"][r["block_index"]]]
+        if wrong:
+            raise RuntimeError(f"{paths[t]}: blocks {wrong[:10]} are not what was elected after their repair")
     for t, m in enumerate(now):
         if (t and mode != recover.IN_PLACE_ALL) or any(x["file_index"] == t for x in failed):
             continue

@@ -36,6 +36,11 @@ def xxh3(data: pd.Series) -> pd.Series:
     return data.map(lambda d: None if d is None else xxh3_hex(d))
 
 
+def block_digest(data: Column, hash_type: str) -> Column:
+    """The hexadecimal digest of one block."""
+    return xxh3(data) if hash_type == "xxh3" else F.sha2(data, 256)
+
+
 @F.pandas_udf(T.StringType())
 def _root_xxh3(hashes: pd.Series) -> pd.Series:
     return hashes.map(lambda h: None if h is None else xxh3_hex(bytes.fromhex("".join(h))))

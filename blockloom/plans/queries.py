@@ -205,12 +205,13 @@ def manifest_geometry(spark, sf_dir):
 
 @query("manifest_agreement", f"""WITH {FILES}, {cut(LARGE)}, {SIDECARS}, s AS (SELECT DISTINCT file_id, replica, intact OR size = 0 AS intact FROM f JOIN (SELECT unnest(range(3)) AS replica) ON true
       JOIN LATERAL (SELECT (file_id + replica) % 4 <> 0 AS intact) ON true WHERE file_id % 2 = 0)
-    SELECT file_id, CAST(3 AS INTEGER) AS loaded, CAST(count(*) FILTER (intact) AS INTEGER) AS sound, count(*) FILTER (intact) > 0 AS agreed, count(*) FILTER (intact) = 3 AS healthy FROM s GROUP BY file_id""")
+    SELECT file_id, CAST(count(intact) AS INTEGER) AS loaded, CAST(count(*) FILTER (intact) AS INTEGER) AS sound, count(*) FILTER (intact) > 0 AS agreed, count(*) FILTER (intact) = 3 AS healthy FROM f LEFT JOIN s USING (file_id) GROUP BY file_id""")
 def manifest_agreement(spark, sf_dir):
     files = documents(spark, sf_dir)
     current = manifests.build(files, LARGE)
     known = manifests.summary(sidecars(files))
-    return known.join(current, "file_id").select("file_id", "loaded", "sound", F.col("agreed").isNotNull().alias("agreed"), manifests.healthy(F.col("manifest"), F.col("all")).alias("healthy"))
+    number = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return current.join(known, "file_id", "left").select("file_id", number("loaded"), number("sound"), F.col("agreed").isNotNull().alias("agreed"), manifests.healthy(F.col("manifest"), F.col("all")).alias("healthy"))
 
 
 @query("manifest_mismatched_blocks", f"""WITH {FILES}, {cut(LARGE)} SELECT file_id, block_index FROM b
@@ -314,18 +315,32 @@ def recover_fast(spark, sf_dir):
     return recover.recover_report(copies(files, 3), sidecars(files), LARGE, recover.FAST)
 
 
-@query("recover_content", f"""WITH {witnesses_sql(3)}, {election_sql('')},
-    n AS (SELECT c.file_id, c.block_index, CASE WHEN d.elected_hash = c.hash THEN c.x WHEN d.repair_source_index <> 0 THEN s.x ELSE c.x END AS x
-      FROM (SELECT cb.*, ch.hash FROM cb JOIN ch USING (file_id, copy_index, block_index) WHERE copy_index = 0) c JOIN d USING (file_id, block_index)
+def _content_sql(count: int, everyone: bool) -> str:
+    where = "" if everyone else "WHERE copy_index = 0"
+    return f"""WITH {witnesses_sql(count)}, {election_sql('')},
+    n AS (SELECT c.file_id, c.copy_index, c.block_index, CASE WHEN d.elected_hash = c.hash THEN c.x WHEN d.repair_source_index <> c.copy_index THEN s.x ELSE c.x END AS x
+      FROM (SELECT cb.*, ch.hash FROM cb JOIN ch USING (file_id, copy_index, block_index) {where}) c JOIN d USING (file_id, block_index)
       LEFT JOIN cb s ON s.file_id = c.file_id AND s.block_index = c.block_index AND s.copy_index = d.repair_source_index)
-    SELECT file_id, CAST(0 AS INTEGER) AS copy_index, sha256(unhex(string_agg(x, '' ORDER BY block_index))) AS digest FROM n GROUP BY file_id""")
-def recover_content(spark, sf_dir):
+    SELECT file_id, CAST(copy_index AS INTEGER) AS copy_index, sha256(unhex(string_agg(x, '' ORDER BY block_index))) AS digest FROM n GROUP BY file_id, copy_index"""
+
+
+def _recovered(spark, sf_dir, count: int, mode: str) -> DataFrame:
     files = documents(spark, sf_dir)
-    made = copies(files, 3)
-    judged = recover.decisions(made, sidecars(files), LARGE)
+    made = copies(files, count)
+    judged = recover.decisions(made, sidecars(files), LARGE, mode)
     return recover.repaired_content(made, judged, LARGE).select("file_id", "copy_index", F.sha2("content", 256).alias("digest"))
 
 
+@query("recover_content", _content_sql(3, False))
+def recover_content(spark, sf_dir):
+    return _recovered(spark, sf_dir, 3, recover.STANDARD)
+
+
+@query("recover_content_in_place_all", _content_sql(4, True))
+def recover_content_in_place_all(spark, sf_dir):
+    return _recovered(spark, sf_dir, 4, recover.IN_PLACE_ALL)
+
+
 @query("recover_many_copies")
 def recover_many_copies(spark, sf_dir):
     files = documents(spark, sf_dir)

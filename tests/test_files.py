@@ -119,6 +119,57 @@ def test_in_place_all_repairs_copies_and_sidecars(spark, target, tmp_path):
     assert api.read_file(target) == api.read_file(copy) == pattern(40_000)
 
 
+def test_in_place_all_never_copies_from_a_file_that_is_damaged_itself(spark, tmp_path):
+    """A target may elect a file that an earlier repair mended; its bytes come from one that was right before."""
+    f, g, h = paths = [str(tmp_path / n) for n in "fgh"]
+    for p in paths:
+        api.write_file(p, pattern(16_384))
+    api.hash_file(spark, f, "sha256", block_size=4096)
+    damage(g, 5)
+    damage(f, 4096 + 5)
+    damage(g, 4096 + 9, 6)
+    done = api.recover_file(spark, f, [g, h], mode=recover.IN_PLACE_ALL)
+    assert (done.repaired_blocks, done.failed_blocks) == (3, [])
+    assert all(api.read_file(p) == pattern(16_384) for p in paths)
+    assert all(api.verify_file(spark, p).bad_blocks == [] for p in paths)
+
+
+@pytest.mark.parametrize("count", [2, 3, 4, 5, 6])
+def test_in_place_all_of_random_damage(spark, count):
+    """Every block whose elected hash some copy held ends equal to it, whatever was damaged; held against a loop."""
+    import hashlib
+    import random
+
+    from blockloom.operators import manifests
+
+    rng, size, n = random.Random(count), 64, 6
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    rows, replicas, want = [], [], {}
+    for file_id in range(12):
+        true = [bytes([file_id, i]) * (size // 2) for i in range(n)]
+        held = [[rng.choice([b, b, bytes([rng.randrange(2)]) * size]) for b in true] for _ in range(count)]
+        rows += [(file_id, c, b"".join(blocks)) for c, blocks in enumerate(held)]
+        stored = []
+        if file_id % 2:
+            hashes = [sha(b) for b in true]
+            replicas.append((file_id, 0, 0, ("sha256", n * size, size, n * size, hashes, sha(b"".join(map(bytes.fromhex, hashes))))))
+            stored = hashes
+        for i in range(n):
+            bytes_of = {sha(blocks[i]): blocks[i] for blocks in held}
+            now = [sha(blocks[i]) for blocks in held]
+            for t in range(count):
+                elected, source, _, _ = recover.decide_one(now, [(stored[i], True)] if stored else [])
+                if source is not None:
+                    now[t] = elected
+            for t in range(count):
+                want.setdefault((file_id, t), []).append(bytes_of[now[t]])
+    copies = spark.createDataFrame(rows, "file_id bigint, copy_index int, content binary")
+    stored = spark.createDataFrame(replicas, f"file_id bigint, copy_index int, replica int, manifest struct<{manifests.MANIFEST.replace(' ', ':').replace(',:', ',')}>")
+    judged = recover.decisions(copies, stored, size, recover.IN_PLACE_ALL, unit=1)
+    got = {(r["file_id"], r["copy_index"]): bytes(r["content"]) for r in recover.repaired_content(copies, judged, size).collect()}
+    assert got == {k: b"".join(v) for k, v in want.items()}
+
+
 def test_without_sidecars_every_block_is_bad(spark, target):
     report = api.verify_file(spark, target, block_size=4096)
     assert report.loaded_manifests == 0 and len(report.bad_blocks) == 10
