@@ -22,13 +22,13 @@ from .vectors import finite, search
 DEGREE = 32
 BUILD_BEAM = 64
 QUERY_BEAM = 96
+BEAM_PER_DIMENSION = 2
 ALPHA = 1.2
 #: Points that a beam expands at once.
 WIDTH = 4
 BATCH = 256
-#: The least length of a group of vectors, as a share of its greatest; groups up to SCANNED vectors need no graph.
+#: The least length of a group of vectors, as a share of its greatest.
 LENGTHS = 0.8
-SCANNED = 200
 SHARD_ROWS = 16_384
 
 
@@ -50,6 +50,30 @@ class Graph:
             batch = order[at : at + min(BATCH, max(1, at // 2))]
             self._insert(batch, beam)
             at += len(batch)
+        self._connect()
+
+    def _connect(self) -> None:
+        """Makes every point reachable from the entry: one that is not becomes a neighbour of one that is."""
+        reached = np.zeros(len(self.x), bool)
+        reached[self.entry] = True
+        front = np.array([self.entry])
+        while True:
+            while len(front):
+                next_ = np.unique(self.edges[front])
+                front = next_[(next_ >= 0) & ~reached[next_]]
+                reached[front] = True
+            lost = np.flatnonzero(~reached)
+            if not len(lost):
+                return
+            if not (spare := reached & (self.size < self.edges.shape[1])).any():
+                self.edges = np.column_stack([self.edges, np.full(len(self.x), -1, np.int32)])
+                spare = reached
+            near = np.flatnonzero(spare)
+            at = near[np.argmin(self.norm[near] - 2 * self.x[near] @ self.x[lost[0]])]
+            self.edges[at, self.size[at]] = lost[0]
+            self.size[at] += 1
+            front = lost[:1]
+            reached[front] = True
 
     def _insert(self, batch: np.ndarray, beam: int) -> None:
         pool, dist = self.beam(self.x[batch], beam)
@@ -154,27 +178,28 @@ class Graph:
 
 
 class _Group:
-    """Vectors of about one length: a graph, or for a few vectors all of them."""
+    """Vectors of about one length, in a graph."""
 
     def __init__(self, rows: np.ndarray, vectors: np.ndarray):
         self.rows, self.vectors = rows, vectors
         length = (vectors * vectors).sum(1)
         self.longest = float(np.sqrt(length.max()))
-        self.graph = None
-        if len(rows) > SCANNED:
-            unit = vectors / self.longest
-            more = np.sqrt(np.maximum(1 - length / self.longest**2, 0))
-            self.graph = Graph(np.column_stack([unit, more]).astype(np.float32))
+        unit = vectors / self.longest
+        more = np.sqrt(np.maximum(1 - length / self.longest**2, 0))
+        self.graph = Graph(np.column_stack([unit, more]).astype(np.float32))
 
     def find(self, queries: np.ndarray, size: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
-        if self.graph is None:
-            return np.broadcast_to(self.rows, (len(queries), len(self.rows))), queries @ self.vectors.T
         asked = np.column_stack([queries / size[:, None], np.zeros(len(queries))]).astype(np.float32)
         index, _ = self.graph.beam(asked, min(beam, len(self.rows)))
         score = np.einsum("bcd,bd->bc", self.vectors[index], queries)
         return np.where(index >= 0, self.rows[index], -1), np.where(index >= 0, score, -np.inf)
 
 
+def beam_for(dim: int, k: int) -> int:
+    """The width of a query's beam: neighbourhoods of vectors without structure need a wider one in more dimensions."""
+    return max(QUERY_BEAM, 2 * k, BEAM_PER_DIMENSION * dim)
+
+
 def _searcher(original: np.ndarray, k: int):
     """Largest inner products over one shard.
 
@@ -182,7 +207,7 @@ def _searcher(original: np.ndarray, k: int):
     of lengths has a graph of its own. The longest come first, and a query
     skips those whose length rules out what it has found already.
     """
-    beam = max(QUERY_BEAM, 2 * k)
+    beam = beam_for(original.shape[1], k)
     vectors = original / (float(np.abs(original).max()) or 1.0)
     length = np.sqrt((vectors * vectors).sum(1))
     order = np.argsort(-length, kind="stable")
@@ -196,7 +221,7 @@ def _searcher(original: np.ndarray, k: int):
         size = np.sqrt((queries * queries).sum(1))
         index, score = np.full((len(queries), beam), -1, np.int64), np.full((len(queries), beam), -np.inf)
         for g in groups:
-            open_ = np.flatnonzero(size * g.longest >= score[:, k])
+            open_ = np.flatnonzero(size * g.longest >= score[:, min(k, beam - 1)])
             if not len(open_):
                 break
             i, s = g.find(queries[open_], size[open_], beam)

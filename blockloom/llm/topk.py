@@ -27,14 +27,38 @@ _EASE = 1e-9
 _LEAST = np.iinfo(np.int64).min
 
 
+def _pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The integer inner product of each row of ``a`` with the same of ``b``, exactly; a score beyond 64 bits is an error.
+
+    Sums of 64-bit products wrap around, so a score that fits is right whatever
+    its terms are. Where floating point cannot tell that it fits, Python's
+    integers do.
+    """
+    out = np.einsum("ij,ij->i", a, b)
+    wide = a.astype(np.float64), b.astype(np.float64)
+    sizes = np.einsum("ij,ij->i", np.abs(wide[0]), np.abs(wide[1]))
+    about, error = np.einsum("ij,ij->i", *wide), sizes * a.shape[1] * 2.0**-50
+    for i in np.flatnonzero(np.abs(about) + error >= 2.0**63):
+        score = sum(x * y for x, y in zip(a[i].tolist(), b[i].tolist(), strict=True))
+        if not -(1 << 63) <= score < 1 << 63:
+            raise ArithmeticError("a score does not fit 64 bits")
+        out[i] = score
+    return out
+
+
 def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """All integer inner products, exactly; beyond 64 bits is an error."""
-    bound = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[1]
+    """All integer inner products, exactly; a score beyond 64 bits is an error."""
+    wide = a.astype(np.float64), b.astype(np.float64)
+    bound = float(np.abs(wide[0]).max(initial=0)) * float(np.abs(wide[1]).max(initial=0)) * a.shape[1]
     if bound < 2**53:
-        return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
-    if bound < 2**63:
-        return a @ b.T
-    raise ArithmeticError("a score does not fit 64 bits")
+        return (wide[0] @ wide[1].T).astype(np.int64)
+    out = a @ b.T
+    # Only vectors whose lengths allow for it have scores that may not fit.
+    long = np.sqrt((wide[0] ** 2).sum(1))[:, None] * np.sqrt((wide[1] ** 2).sum(1))[None, :] * (1 + 1e-9)
+    rows, cols = np.nonzero(long >= 2.0**63)
+    if len(rows):
+        out[rows, cols] = _pairs(a[rows], b[cols])
+    return out
 
 
 class NormBuckets:
@@ -71,20 +95,13 @@ class NormBuckets:
             else:
                 products = np.full(keep.shape, _LEAST, np.int64)
                 if len(rows):
-                    products[rows, cols] = self._pairs(queries[active[rows]], vec[cols])
+                    products[rows, cols] = _pairs(queries[active[rows]], vec[cols])
             better = np.flatnonzero((products >= score[active, -1:]).any(1) & keep.any(1))
             if len(better):
                 self._merge(active[better], products[better], keep[better], at, index, score)
         out = np.where(index >= 0, self.order[np.maximum(index, 0)], -1)
         return out, score
 
-    @staticmethod
-    def _pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        bound = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[1]
-        if bound >= 2**63:
-            raise ArithmeticError("a score does not fit 64 bits")
-        return np.einsum("ij,ij->i", a, b)
-
     def _keep(self, active, local, bar, size, unit, focus, at, long) -> np.ndarray:
         """Which of the bucket's vectors each query must verify."""
         direction = self.unit[at : at + BUCKET]

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import Stage
+
 #: Queries that are searched together.
 QUERY_BATCH = 256
 
@@ -42,23 +44,25 @@ def search(
     """``query_id, rank, vec_id, score`` for rows ``id, vec`` and queries ``id, vec``.
 
     Distinct vectors are dealt to shards by a hash, each at most about
-    ``shard_rows``. A task takes its shard's vectors first, calls ``make(vectors,
+    ``shard_rows``, and each shard is a task. It takes its shard's vectors first, calls ``make(vectors,
     least ids)`` once, then streams all queries of the same dimension through
     the search it returns, which gives (indices, scores) of at least the k + 1
     best distinct vectors, -1 where there are fewer. A task thus holds one
     shard and one batch of queries. The best k rows of each shard meet at the
     query; the query's own row is left out.
     """
-    found = classes(rows, k + 1)
-    dims = {r["dim"]: -(-r["n"] // shard_rows) for r in found.groupBy(F.size("vec").alias("dim")).agg(F.count("*").alias("n")).collect()}
-    shards = F.coalesce(*[F.when(F.size("vec") == d, F.lit(n)) for d, n in dims.items()], F.lit(0)) if dims else F.lit(0)
-    dim = F.size("vec").alias("dim")
-    candidates = found.select(dim, F.pmod(F.xxhash64("vec"), F.greatest(shards, F.lit(1))).cast("int").alias("shard"), F.lit(0).alias("kind"), F.lit(None).cast("bigint").alias("id"), "ids", "vec")
-    asked = queries.select("id", "vec").distinct().withColumn("shards", shards).where("shards > 0").select(
-        dim, F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), F.lit(1).alias("kind"), "id", F.lit(None).cast("array<bigint>").alias("ids"), "vec"
+    found = Stage(spark, "vectors").put(classes(rows, k + 1), "classes")
+    dims = {r["dim"]: -(-r["n"] // shard_rows) for r in found.groupBy(F.size("vec").alias("dim")).agg(F.count("*").alias("n")).orderBy("dim").collect()}
+    starts = dict(zip(dims, np.cumsum([0, *dims.values()]).tolist(), strict=False))
+    of_dim = lambda numbers: F.coalesce(*[F.when(F.size("vec") == d, F.lit(int(n))) for d, n in numbers.items()], F.lit(0)) if numbers else F.lit(0)
+    shards, start = of_dim(dims), of_dim(starts)
+    own = start + F.pmod(F.xxhash64("vec"), F.greatest(shards, F.lit(1))).cast("int")
+    candidates = found.select(own.alias("shard"), F.lit(0).alias("kind"), F.lit(None).cast("bigint").alias("id"), "ids", "vec")
+    asked = queries.select("id", "vec").distinct().withColumns({"shards": shards, "start": start}).where("shards > 0").select(
+        F.explode(F.sequence(F.col("start"), F.col("start") + F.col("shards") - 1)).alias("shard"), F.lit(1).alias("kind"), "id", F.lit(None).cast("array<bigint>").alias("ids"), "vec"
     )
     total = max(1, sum(dims.values()))
-    both = candidates.unionByName(asked).repartition(total, "dim", "shard").sortWithinPartitions("dim", "shard", "kind")
+    both = candidates.unionByName(asked).repartitionById(total, F.col("shard")).sortWithinPartitions("shard", "kind")
     exact = np.float64 if value == "double" else np.int64
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,16 +91,16 @@ def search(
             return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], kind)], names=["query_id", "vec_id", "score"])
 
         for batch in batches:
-            at_dim, at_shard, at_kind, at_id = (batch.column(i).to_pylist() for i in range(4))
-            lists, flat = batch.column(4), batch.column(5)
+            at_shard, at_kind, at_id = (batch.column(i).to_pylist() for i in range(3))
+            lists, flat = batch.column(3), batch.column(4)
             values, offsets = flat.values.to_numpy(zero_copy_only=False), flat.offsets.to_numpy()
             for i in range(batch.num_rows):
-                if (at_dim[i], at_shard[i]) != here:
+                if at_shard[i] != here:
                     if done := answer():
                         yield done
                     waiting[0].clear()
                     waiting[1].clear()
-                    here, ids, vectors, searcher = (at_dim[i], at_shard[i]), [], [], None
+                    here, ids, vectors, searcher = at_shard[i], [], [], None
                 vec = values[offsets[i] : offsets[i + 1]].copy()
                 if at_kind[i] == 0:
                     ids.append(lists[i].as_py())
