@@ -145,18 +145,28 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
       SELECT *, CAST(length(rendered) AS BIGINT) AS n_chars,
              CAST(coalesce(sum(length(rendered)) OVER (PARTITION BY pair_id, part ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
       FROM shown
+    ), masked AS (
+      SELECT *, CASE WHEN role = 'assistant' AND part <> 'prompt' THEN start + length(role) + 13 END AS t0,
+             CASE WHEN role = 'assistant' AND part <> 'prompt' THEN start + n_chars END AS t1,
+             CAST('0x' || substr(sha256(concat_ws(':', turn, start, n_chars, sha256(rendered))), 1, 15) AS BIGINT) AS word
+      FROM laid
     )
-    SELECT pair_id, part, turn, role, sha256(rendered) AS rendered_sha256, start, n_chars,
-           CASE WHEN role = 'assistant' AND part <> 'prompt' THEN start + length(role) + 13 END AS target_start,
-           CASE WHEN role = 'assistant' AND part <> 'prompt' THEN start + n_chars END AS target_end
-    FROM laid
+    SELECT pair_id,
+           count(*) FILTER (part = 'prompt') AS prompt_turns, CAST(coalesce(sum(n_chars) FILTER (part = 'prompt'), 0) AS BIGINT) AS prompt_chars,
+           coalesce(bit_xor(word) FILTER (part = 'prompt'), 0) AS prompt_digest,
+           count(*) FILTER (part = 'chosen') AS chosen_turns, CAST(coalesce(sum(n_chars) FILTER (part = 'chosen'), 0) AS BIGINT) AS chosen_chars,
+           coalesce(bit_xor(word) FILTER (part = 'chosen'), 0) AS chosen_digest,
+           count(*) FILTER (part = 'rejected') AS rejected_turns, CAST(coalesce(sum(n_chars) FILTER (part = 'rejected'), 0) AS BIGINT) AS rejected_chars,
+           coalesce(bit_xor(word) FILTER (part = 'rejected'), 0) AS rejected_digest,
+           CAST(coalesce(sum(t1 - t0) FILTER (part = 'chosen'), 0) AS BIGINT) AS chosen_target_chars,
+           CAST(coalesce(sum(t1 - t0) FILTER (part = 'rejected'), 0) AS BIGINT) AS rejected_target_chars,
+           coalesce(bit_xor(CAST('0x' || substr(sha256(concat_ws(':', part, t0, t1)), 1, 15) AS BIGINT)) FILTER (t0 IS NOT NULL), 0) AS mask_digest
+    FROM masked GROUP BY pair_id
     """,
 )
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    conversations = table(spark, sf_dir, "conversations")
-    segments = chat.preference_segments(conversations.withColumnRenamed("conv_id", "pair_id"), chat.with_other_answers(conversations))
-    digest = F.sha2(F.col("rendered").cast("binary"), 256).alias("rendered_sha256")
-    return segments.select("pair_id", "part", "turn", "role", digest, "start", "n_chars", "target_start", "target_end")
+    both = chat.other_answers(table(spark, sf_dir, "conversations"))
+    return chat.paired(chat.segments_of(both, lambda rendered: F.sha2(rendered.cast("binary"), 256)))
 
 
 @query(

@@ -566,6 +566,57 @@ def test_preference_pairs(spark):
     assert chat.preference_segments(a.limit(0), b.limit(0)).count() == 0
 
 
+def test_pairs_equal_plain_loops(spark):
+    """Random conversations, long texts and odd rows: segments, pairs and their digests against a literal rendering."""
+    rng = random.Random(9)
+    sides = []
+    for _ in range(2):
+        rows = []
+        for pair in range(30):
+            rows += [(pair, t * 700, rng.choice(["user", "assistant", "assistant"]), rng.choice(["a", "bb", "é😀", "", None])) for t in range(rng.randrange(6))]
+        sides.append(rows)
+    for pair in range(30, 36):  # a shared beginning, and very long texts
+        shared = [(pair, t, "user", "x" * 200_000) for t in range(3)]
+        for rows in sides:
+            rows += shared + [(pair, 3, "assistant", rng.choice(["y" * 300_000, "z"]))]
+    plain = []
+    for rows in sides:
+        said = {}
+        for pair, turn, role, text in rows:
+            said.setdefault(pair, {})[turn] = (role, text or "")
+        plain.append(said)
+    want = {}
+    for pair in set(plain[0]) | set(plain[1]):
+        a, b = (side.get(pair, {}) for side in plain)
+        first = min((t for t in set(a) | set(b) if a.get(t) != b.get(t)), default=1 << 60)
+        out = {"prompt": [t for t in sorted(a.items()) if t[0] < first], "chosen": [t for t in sorted(a.items()) if t[0] >= first], "rejected": [t for t in sorted(b.items()) if t[0] >= first]}
+        row, mask = {}, 0
+        for part, said in out.items():
+            start = digest = target = 0
+            for turn, (role, text) in said:
+                shown = f"<|im_start|>{role}\n{text}<|im_end|>\n"
+                word = lambda *w: int(hashlib.sha256(":".join(map(str, w)).encode()).hexdigest()[:15], 16)
+                digest ^= word(turn, start, len(shown), hashlib.sha256(shown.encode()).hexdigest())
+                if role == "assistant" and part != "prompt":
+                    target += len(text) + len("<|im_end|>\n")
+                    mask ^= word(part, start + len(role) + 13, start + len(shown))
+                start += len(shown)
+            row |= {f"{part}_turns": len(said), f"{part}_chars": start, f"{part}_digest": digest} | ({f"{part}_target_chars": target} if part != "prompt" else {})
+        want[pair] = row | {"mask_digest": mask, "pair_id": pair}
+    clash = {"pair_id": F.lit(7), "c": F.lit(1), "span": F.lit(2), "first": F.lit(3), "part": F.lit(4)}
+    chosen, rejected = (spark.createDataFrame(rows, TURNS).withColumnRenamed("pair_id", "conv").withColumns(clash) for rows in sides)
+    segments = chat.segments_of(chat.both_sides(chosen, rejected, "conv"), lambda r: F.sha2(r.cast("binary"), 256))
+    assert {r["pair_id"]: r.asDict() for r in chat.paired(segments).collect()} == want
+    assert chat.paired(segments.limit(0)).count() == 0
+
+
+def test_other_answers_ignore_clashing_names(spark):
+    rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "one"), (2, 0, "assistant", "two"), (3, 0, "user", "no answer")]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").withColumn("pair_id", F.lit("clash"))
+    got = {(r["pair_id"], r["turn"]): (r["c"]["text"], r["r"]["text"]) for r in chat.other_answers(df).collect()}
+    assert got == {(1, 0): ("hi", "hi"), (1, 1): ("one", "two"), (2, 0): ("two", ""), (3, 0): ("no answer", "no answer")}
+
+
 def test_long_conversations_are_summed_in_spans(spark):
     rows = [(1, i, "assistant", "x" * (i % 7)) for i in range(3000)]
     other = [(1, 0, "assistant", "y")]
