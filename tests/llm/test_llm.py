@@ -605,7 +605,7 @@ def test_pairs_equal_plain_loops(spark):
         want[pair] = row | {"mask_digest": mask, "pair_id": pair}
     clash = {"pair_id": F.lit(7), "c": F.lit(1), "span": F.lit(2), "first": F.lit(3), "part": F.lit(4)}
     chosen, rejected = (spark.createDataFrame(rows, TURNS).withColumnRenamed("pair_id", "conv").withColumns(clash) for rows in sides)
-    segments = chat.segments_of(chat.both_sides(chosen, rejected, "conv"), lambda r: F.sha2(r.cast("binary"), 256))
+    segments = chat.segments_of(chat.both_sides(chosen, rejected, "conv", lambda r: F.sha2(r.cast("binary"), 256)))
     assert {r["pair_id"]: r.asDict() for r in chat.paired(segments).collect()} == want
     assert chat.paired(segments.limit(0)).count() == 0
 
@@ -613,7 +613,8 @@ def test_pairs_equal_plain_loops(spark):
 def test_other_answers_ignore_clashing_names(spark):
     rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "one"), (2, 0, "assistant", "two"), (3, 0, "user", "no answer")]
     df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").withColumn("pair_id", F.lit("clash"))
-    got = {(r["pair_id"], r["turn"]): (r["c"]["text"], r["r"]["text"]) for r in chat.other_answers(df).collect()}
+    text = lambda t: t["shown"].removeprefix(f"<|im_start|>{t['role']}\n").removesuffix("<|im_end|>\n")
+    got = {(r["pair_id"], r["turn"]): (text(r["c"]), text(r["r"])) for r in chat.other_answers(spark, df).collect()}
     assert got == {(1, 0): ("hi", "hi"), (1, 1): ("one", "two"), (2, 0): ("two", ""), (3, 0): ("no answer", "no answer")}
 
 
