@@ -25,7 +25,7 @@ from .linear import Logistic, fold_of, held_out, sample_ids
 MAX_LABELLED = 8000
 MAX_POOL = 8000
 ROUNDS = 4
-#: Pseudo-labels that a view hands over in a round, and how sure it must be.
+#: Pseudo-labels that a view hands over in a round, and how sure it must be, calibrated on labels set aside.
 HANDED = 400
 SURE = 0.97
 #: Quantile bins of a numeric feature, and hash buckets of a categorical one.
@@ -114,18 +114,21 @@ def co_train(ids: Sequence, y: np.ndarray, text: np.ndarray, numbers: np.ndarray
     known = y >= 0
     given = [np.where(known, y, -1), np.where(known, y, -1)]  # what each view is trained on
     base = float(y[known].mean()) if known.any() else 1.0
+    folds = fold_of(ids)
+    aside = known & (folds == 0)
     for _ in range(rounds):
         for mine, other in ((0, 1), (1, 0)):
-            labelled = given[mine] >= 0
-            if not labelled.any() or len(np.unique(given[mine][labelled])) < 2:
+            labelled = (given[mine] >= 0) & ~aside
+            if not aside.any() or len(np.unique(given[mine][labelled])) < 2:
                 continue
+            # A view is as sure as it is right on true labels that it has not seen; one that tells nothing hands over nothing.
             views[mine].model.fit(xs[mine][labelled], given[mine][labelled].astype(float))
-            p = sigmoid(views[mine].model.logit(xs[mine]))
+            views[mine].calibrate(views[mine].model.logit(xs[mine][aside]), y[aside].astype(float))
+            p = sigmoid(views[mine].log_odds(xs[mine]))
             free = np.flatnonzero(~known & (given[other] < 0))
             for value, sure, share in ((1, p, base), (0, 1 - p, 1 - base)):
                 best = free[np.argsort(-sure[free], kind="stable")][: max(1, round(HANDED * share))]
                 given[other][best[sure[best] >= SURE]] = value
-    folds = fold_of(ids)
     for i in (0, 1):
         labelled = given[i] >= 0
         views[i].model.fit(xs[i][labelled], given[i][labelled].astype(float))
