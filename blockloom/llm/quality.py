@@ -10,20 +10,19 @@ from __future__ import annotations
 
 import math
 import operator
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import batches, only, sigmoid, strings
+from .common import Stage, batches, only, sigmoid, strings
 from .linear import Logistic, fold_of, held_out, sample_ids
 
-#: Most labelled and most unlabelled documents that the views are fitted on; scoring covers all.
+#: Most labelled documents that the views are fitted on; the pool is all others, and scoring covers all.
 MAX_LABELLED = 8000
-MAX_POOL = 8000
 ROUNDS = 4
 #: Pseudo-labels that a view hands over in a round, and how sure it must be, calibrated on labels set aside.
 HANDED = 400
@@ -31,6 +30,8 @@ SURE = 0.97
 #: Quantile bins of a numeric feature, and hash buckets of a categorical one.
 BINS = 8
 BUCKETS = 64
+#: Parts of the pool that are ranked apart before what is left is ranked together.
+SEATS = 256
 _RIDGE = 1.0
 
 #: Byte classes whose shares of a text are features.
@@ -63,17 +64,12 @@ def text_features(text: str | None) -> list[float]:
 
 
 class View:
-    """A classifier over binned numbers and hashed categories."""
+    """A classifier over numbers, binned by ``edges``, and hashed categories; a number that is not there has a bin of its own."""
 
-    def __init__(self, ridge: float = _RIDGE):
-        self.ridge, self.model, self.edges = ridge, Logistic(ridge), np.zeros((0, 0))
+    def __init__(self, edges: np.ndarray, ridge: float = _RIDGE):
+        self.ridge, self.model, self.edges = ridge, Logistic(ridge), edges
         self.slope, self.shift = 1.0, 0.0
 
-    def prepare(self, numbers: np.ndarray) -> View:
-        """Bins by quantiles; values that are not there get a bin of their own."""
-        self.edges = np.array([np.nanquantile(c, np.linspace(0, 1, BINS + 1)[1:-1]) if np.isfinite(c).any() else np.zeros(BINS - 1) for c in numbers.T]).reshape(numbers.shape[1], BINS - 1)
-        return self
-
     def matrix(self, numbers: np.ndarray, codes: np.ndarray) -> np.ndarray:
         n, d = numbers.shape
         x = np.zeros((n, d * (BINS + 1) + codes.shape[1] * BUCKETS), np.float32)
@@ -106,35 +102,54 @@ class CoTrained:
         return sigmoid(a), sigmoid(b), sigmoid(a + b - self.prior)
 
 
-def co_train(ids: Sequence, y: np.ndarray, text: np.ndarray, numbers: np.ndarray, codes: np.ndarray, rounds: int = ROUNDS, threshold: float = 0.5) -> CoTrained:
-    """Fit both views; ``y`` is 0, 1 or, for the unlabelled pool, -1."""
-    none = np.zeros((len(ids), 0), np.int64)
-    views = [View().prepare(text), View().prepare(numbers)]
-    xs = [views[0].matrix(text, none), views[1].matrix(numbers, codes)]
-    known = y >= 0
-    given = [np.where(known, y, -1), np.where(known, y, -1)]  # what each view is trained on
-    base = float(y[known].mean()) if known.any() else 1.0
-    folds = fold_of(ids)
-    aside = known & (folds == 0)
+class Rows:
+    """Documents as the views see them."""
+
+    def __init__(self, ids: list, text: np.ndarray, numbers: np.ndarray, codes: np.ndarray):
+        self.ids, self.text, self.numbers, self.codes = ids, text, numbers, codes
+
+    def xs(self, views: Sequence[View]) -> list[np.ndarray]:
+        return [views[0].matrix(self.text, np.zeros((len(self.ids), 0), np.int64)), views[1].matrix(self.numbers, self.codes)]
+
+
+def sureness(views: Sequence[View], rows: Rows) -> np.ndarray:
+    """How sure each view is that a document is bad or good: ``[view, label, document]``, rounded for the sake of ties."""
+    p = [sigmoid(v.log_odds(x)) for v, x in zip(views, rows.xs(views), strict=True)]
+    return np.round(np.array([[1 - q, q] for q in p]), 9)
+
+
+#: What a round asks the pool for: views, ids that each view has been given, and how many of each label; gives each view's new documents and their labels.
+Propose = Callable[[Sequence[View], Sequence[set], Sequence[int]], Sequence[tuple[Rows, np.ndarray]]]
+
+
+def co_train(known: Rows, y: np.ndarray, edges: Sequence[np.ndarray], propose: Propose, rounds: int = ROUNDS, threshold: float = 0.5) -> CoTrained:
+    """Fit both views on labelled documents and, round by round, on what the other view is surest of in the pool."""
+    views = [View(e) for e in edges]
+    xs, ys, ids = known.xs(views), [y.astype(float)] * 2, [list(known.ids)] * 2
+    n, base = len(y), float(y.mean()) if len(y) else 1.0
+    folds = fold_of(known.ids)
+    aside = folds == 0
+    handed = [max(1, round(HANDED * share)) for share in (1 - base, base)]
+    taken: list[set] = [set(), set()]
     for _ in range(rounds):
-        for mine, other in ((0, 1), (1, 0)):
-            labelled = (given[mine] >= 0) & ~aside
-            if not aside.any() or len(np.unique(given[mine][labelled])) < 2:
-                continue
-            # A view is as sure as it is right on true labels that it has not seen; one that tells nothing hands over nothing.
-            views[mine].model.fit(xs[mine][labelled], given[mine][labelled].astype(float))
-            views[mine].calibrate(views[mine].model.logit(xs[mine][aside]), y[aside].astype(float))
-            p = sigmoid(views[mine].log_odds(xs[mine]))
-            free = np.flatnonzero(~known & (given[other] < 0))
-            for value, sure, share in ((1, p, base), (0, 1 - p, 1 - base)):
-                best = free[np.argsort(-sure[free], kind="stable")][: max(1, round(HANDED * share))]
-                given[other][best[sure[best] >= SURE]] = value
-    for i in (0, 1):
-        labelled = given[i] >= 0
-        views[i].model.fit(xs[i][labelled], given[i][labelled].astype(float))
-        if known.any():
-            views[i].calibrate(held_out(xs[i][labelled], given[i][labelled].astype(float), folds[labelled], _RIDGE)[known[labelled]], y[known].astype(float))
-    prior = min(max(base, 1e-3), 1 - 1e-3) if known.any() else 0.5
+        # A view is as sure as it is right on true labels that it has not seen; one that tells nothing hands over nothing.
+        seen = [np.concatenate([~aside, np.ones(len(t) - n, bool)]) for t in ys]
+        if not aside.any() or any(len(np.unique(t[s])) < 2 for t, s in zip(ys, seen, strict=True)):
+            break
+        for v, x, t, s in zip(views, xs, ys, seen, strict=True):
+            v.model.fit(x[s], t[s])
+            v.calibrate(v.model.logit(x[:n][aside]), y[aside].astype(float))
+        found = propose(views, taken, handed)
+        for i, (rows, labels) in enumerate(found):
+            taken[i] = taken[i] | set(rows.ids)
+            xs[i], ys[i], ids[i] = np.concatenate([xs[i], rows.xs(views)[i]]), np.concatenate([ys[i], labels.astype(float)]), ids[i] + list(rows.ids)
+        if not any(len(labels) for _, labels in found):
+            break
+    for v, x, t, who in zip(views, xs, ys, ids, strict=True):
+        v.model.fit(x, t)
+        if n:
+            v.calibrate(held_out(x, t, fold_of(who), _RIDGE)[:n], y.astype(float))
+    prior = min(max(base, 1e-3), 1 - 1e-3) if n else 0.5
     return CoTrained(views[0], views[1], math.log(prior / (1 - prior)), threshold)
 
 
@@ -155,32 +170,82 @@ def _narrow(docs: DataFrame, keep: list[str]) -> DataFrame:
     return docs.select("doc_id", "text", *META, F.col("n_chars").cast("double").alias("n_chars"), *[F.col(f"`{c}`").alias(f"kept{i}") for i, c in enumerate(keep)])
 
 
-def train_quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, labelled: int = MAX_LABELLED, pool: int = MAX_POOL) -> CoTrained:
-    """Fit on at most ``labelled`` labelled and ``pool`` unlabelled documents, chosen by a hash of their ids."""
-    known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").cast("int").alias("y"))
-    chosen = sample_ids(known, labelled)
-    free = sample_ids(only(docs, "doc_id").join(known, "doc_id", "left_anti"), pool)
+def _featured(docs: DataFrame) -> DataFrame:
+    """``doc_id, x`` (the content view's features) and the metadata of every document."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    sample = spark.createDataFrame([(i,) for i in chosen], f"doc_id {kind}")
-    # Both broadcasts hold at most labelled + pool rows.
-    wanted = known.join(F.broadcast(sample), "doc_id").unionByName(spark.createDataFrame([(i, -1) for i in free], f"doc_id {kind}, y int"))
-    rows = _narrow(docs, []).join(F.broadcast(wanted), "doc_id").dropDuplicates(["doc_id"])
 
-    def run(batch_rows):
-        for batch in batches(batch_rows):
+    def run(rows):
+        for batch in batches(rows):
             found = [text_features(t) for t in strings(batch.column("text"))]
             features = pa.ListArray.from_arrays(pa.array(np.arange(0, len(found) * TEXT_FEATURES + 1, TEXT_FEATURES), pa.int32()), pa.array([v for f in found for v in f], pa.float64()))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), features, *[batch.column(c) for c in META], batch.column("n_chars"), batch.column("y")], names=["doc_id", "x", *META, "n_chars", "y"]
-            )
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), features, *[batch.column(c) for c in META], batch.column("n_chars")], names=["doc_id", "x", *META, "n_chars"])
+
+    return _narrow(docs, []).mapInArrow(run, f"doc_id {kind}, x array<double>, lang string, source string, n_chars double")
+
+
+def _rows(got: list) -> Rows:
+    x = np.array([r["x"] for r in got], float).reshape(len(got), TEXT_FEATURES)
+    return Rows([r["doc_id"] for r in got], x, _numbers([r["n_chars"] for r in got]).reshape(len(got), META_NUMBERS), _codes([[r[c] for r in got] for c in META]).reshape(len(got), len(META)))
+
+
+def _edges(featured: DataFrame) -> list[np.ndarray]:
+    """The bins' edges of the text features and of the lengths: quantiles over all documents."""
+    at = [i / BINS for i in range(1, BINS)]
+    asked = [F.percentile_approx(F.col("x")[i], at, 1000) for i in range(TEXT_FEATURES)] + [F.percentile_approx("n_chars", at, 1000)]
+    found = [q or [0.0] * (BINS - 1) for q in featured.agg(*[q.alias(f"q{i}") for i, q in enumerate(asked)]).first()]
+    return [np.array(found[:TEXT_FEATURES], float), np.array([_numbers(found[TEXT_FEATURES])[:, 0]])]
 
-    got = rows.mapInArrow(run, f"doc_id {kind}, x array<double>, lang string, source string, n_chars double, y int").collect()
+
+def _proposed(pool: DataFrame, views: Sequence[View], taken: Sequence[set], handed: Sequence[int]) -> list[tuple[Rows, np.ndarray]]:
+    """For each view the documents of the whole pool that the other is surest of.
+
+    Each task keeps what is sure enough; the surest are ranked within seats
+    first and then among the seats' best, so no task gathers more than
+    ``SEATS`` times what is handed over.
+    """
+    kind = pool.schema["doc_id"].dataType.simpleString()
+    names = ["doc_id", "x", *META, "n_chars"]
+
+    def run(batches_):
+        for batch in batches_:
+            got = batch.to_pylist()
+            rows = _rows(got)
+            sure = sureness(views, rows)
+            for mine in (0, 1):
+                free = np.array([i not in taken[1 - mine] for i in rows.ids], bool)
+                for label in (0, 1):
+                    some = np.flatnonzero(free & (sure[mine, label] >= SURE))
+                    if len(some):
+                        part = batch.take(pa.array(some))
+                        yield pa.RecordBatch.from_arrays(
+                            [*part.columns, pa.array(np.full(len(some), 1 - mine, np.int32)), pa.array(np.full(len(some), label, np.int32)), pa.array(sure[mine, label][some])],
+                            names=[*names, "view", "label", "sure"],
+                        )
+
+    sure = pool.select(*names).mapInArrow(run, f"doc_id {kind}, x array<double>, lang string, source string, n_chars double, view int, label int, sure double")
+    most = F.when(F.col("label") == 1, handed[1]).otherwise(handed[0])
+    for key in (["view", "label", "seat"], ["view", "label"]):
+        place = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("sure"), "doc_id"))
+        sure = sure.withColumn("seat", F.pmod(F.xxhash64("doc_id"), F.lit(SEATS))).withColumn("place", place).where(F.col("place") <= max(handed)).where(F.col("place") <= most).drop("place")
+    got = sure.orderBy("view", "label", F.desc("sure"), "doc_id").collect()
+    return [(_rows(part := [r for r in got if r["view"] == v]), np.array([r["label"] for r in part], np.int64)) for v in (0, 1)]
+
+
+def train_quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, labelled: int = MAX_LABELLED) -> CoTrained:
+    """Fit on at most ``labelled`` labelled documents, chosen by a hash of their ids, and on all documents without a label.
+
+    Every document's features are written once. A document that shares its id
+    with others counts once among the labelled, and for each of its rows in the pool.
+    """
+    known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").cast("int").alias("y"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    featured = Stage(spark, "quality").put(_featured(docs).where("doc_id is not null").join(known, "doc_id", "left"), "features")
+    sample = spark.createDataFrame([(i,) for i in sample_ids(known, labelled)], f"doc_id {kind}")
+    # At most ``labelled`` ids are broadcast, and as many rows collected.
+    got = featured.where("y is not null").join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min(F.struct("x", *META, "n_chars", "y")).alias("r")).select("doc_id", "r.*").collect()
     got.sort(key=lambda r: r["doc_id"])
-    return co_train(
-        [r["doc_id"] for r in got], np.array([r["y"] for r in got], np.int64),
-        np.array([r["x"] for r in got], float).reshape(len(got), TEXT_FEATURES), _numbers([r["n_chars"] for r in got]).reshape(len(got), META_NUMBERS),
-        _codes([[r[c] for r in got] for c in META]),
-    )
+    pool = featured.where("y is null")
+    return co_train(_rows(got), np.array([r["y"] for r in got], np.int64), _edges(featured), lambda views, taken, handed: _proposed(pool, views, taken, handed))
 
 
 def score_quality(docs: DataFrame, model: CoTrained, keep: list[str] | None = None) -> DataFrame:
@@ -206,7 +271,7 @@ def score_quality(docs: DataFrame, model: CoTrained, keep: list[str] | None = No
 
 
 def quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """Fit on a bounded sample of the labels and score all documents.
+    """Fit on a bounded sample of the labels and all that has none, and score all documents.
 
     ``docs`` has ``doc_id, text, lang, source, n_chars``, ``labels`` has
     ``doc_id, quality`` (0 or 1; of repeated ids the least holds). Scores are

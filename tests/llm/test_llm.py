@@ -474,17 +474,58 @@ def test_toxicity_equals_plain_loops(spark, monkeypatch):
     assert all(abs(got[i][0] - want[i]) < 2e-6 and got[i][1] == (got[i][0] >= 0.5) for i in range(len(rows)))
 
 
+def plain_proposals(rows, calls):
+    """What a round asks for, from a pool in memory: sorted whole, view by view."""
+    def propose(views, taken, handed):
+        sure, out = quality.sureness(views, rows), []
+        for view in (0, 1):
+            picked = []
+            for label in (0, 1):
+                some = [i for i in range(len(rows.ids)) if sure[1 - view, label, i] >= quality.SURE and rows.ids[i] not in taken[view]]
+                picked += [(i, label) for i in sorted(some, key=lambda i: (-sure[1 - view, label, i], rows.ids[i]))[: handed[label]]]
+            at = np.array([i for i, _ in picked], np.int64)
+            out.append((quality.Rows([rows.ids[i] for i in at], rows.text[at], rows.numbers[at], rows.codes[at]), np.array([v for _, v in picked], np.int64)))
+        calls.append(sum(len(v) for _, v in out))
+        return out
+
+    return propose
+
+
 def test_views_exchange_labels():
     rng = np.random.default_rng(0)
     n = 600
     y = rng.integers(0, 2, n)
     text = np.column_stack([y + rng.normal(size=n) * 0.2, *rng.normal(size=(quality.TEXT_FEATURES - 1, n))])
-    codes = np.column_stack([y * 3 + rng.integers(0, 3, n), rng.integers(0, 5, n)])
-    given = np.where(rng.random(n) < 0.2, y, -1)
-    model = quality.co_train(np.arange(n), given, text, rng.normal(size=(n, 1)), codes)
-    none = np.zeros((n, 0), np.int64)
-    _, _, both = model.scores(model.content.matrix(text, none), model.meta.matrix(rng.normal(size=(n, 1)), codes))
-    assert ((both >= 0.5) == y).mean() > 0.97
+    rows = lambda at, codes: quality.Rows(at.tolist(), text[at], rng.normal(size=(len(at), 1)), codes[at])
+    edges = [np.quantile(text, np.linspace(0, 1, 9)[1:-1], axis=0).T, np.zeros((1, 7))]
+    given = rng.random(n) < 0.2
+    for codes, gives in ((np.column_stack([y * 3 + rng.integers(0, 3, n), rng.integers(0, 5, n)]), True), (rng.integers(0, 5, (n, 2)), False)):
+        calls = []
+        known, pool = np.flatnonzero(given), rows(np.flatnonzero(~given), codes)
+        model = quality.co_train(rows(known, codes), y[known], edges, plain_proposals(pool, calls))
+        every = rows(np.arange(n), codes)
+        _, _, both = model.scores(*every.xs([model.content, model.meta]))
+        assert ((both >= 0.5) == y).mean() > 0.95 and (sum(calls) > 100) == gives or not gives
+
+
+def test_quality_equals_a_plain_pool(spark, docs, monkeypatch):
+    """Scores against the same rounds over a pool that is held in memory and sorted whole."""
+    monkeypatch.setattr(quality, "SEATS", 3)
+    data = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{data}/documents.parquet").where("doc_id < 3000").cache()
+    labels = spark.read.parquet(f"{data}/labels.parquet").where("doc_id % 2 = 0")
+    got = {r["doc_id"]: r["score"] for r in quality.quality(spark, docs, labels).collect()}
+    every = sorted(docs.collect(), key=lambda r: r["doc_id"])
+    y = {r["doc_id"]: r["quality"] for r in labels.collect() if r["quality"] is not None}
+    as_rows = lambda some: quality._rows([r.asDict() | {"x": quality.text_features(r["text"])} for r in some])
+    known = [r for r in every if r["doc_id"] in y]
+    edges = quality._edges(quality._featured(docs))
+    pool, calls = as_rows([r for r in every if r["doc_id"] not in y]), []
+    model = quality.co_train(as_rows(known), np.array([y[r["doc_id"]] for r in known]), edges, plain_proposals(pool, calls))
+    rows = as_rows(every)
+    _, _, both = model.scores(*rows.xs([model.content, model.meta]))
+    assert sum(calls) > 0 and len(got) == len(every)
+    assert max(abs(got[r["doc_id"]] - p) for r, p in zip(every, both)) < 2e-6
 
 
 # --- 7 ---------------------------------------------------------------------------------
