@@ -27,27 +27,47 @@ def _columns(docs: DataFrame) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops what the co-trained classifier rejects; the text passes through its map, so nothing is joined."""
+    """Drops what the co-trained classifier rejects; the text passes through its map, so nothing is joined.
+
+    A null text counts as empty, null metadata as a kind of its own; null ids
+    are scored and stay null; each of repeated rows is judged alike; without
+    labels all stay; an empty table stays empty; other columns are left out.
+    """
     rest = COLUMNS[1:]
     scored = quality.quality(spark, _columns(docs), table(spark, sf_dir, "labels"), keep=rest)
     return scored.where("keep").select(*COLUMNS)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops what the classifier chain calls toxic."""
+    """Drops what the classifier chain calls toxic.
+
+    A null or empty text has no words and gets the constant; null ids are
+    scored and stay null; each of repeated rows is judged alike; without toxic
+    labels all stay; an empty table stays empty; other columns are left out.
+    """
     rest = COLUMNS[1:]
     scored = toxicity.toxicity(spark, _columns(docs), table(spark, sf_dir, "labels"), keep=rest)
     return scored.where("not toxic").select(*COLUMNS)
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near copies: that of the least row number, which is unique."""
+    """Keeps one document of each group of near copies: that of the least row number, which is unique, so there are no ties.
+
+    Texts that are null, empty or without words are no copies of anything and
+    all stay; of repeated rows one stays, whatever their ids; an empty table
+    stays empty; other columns are left out.
+    """
     bound_batches(spark)
     return jaccard_join.keep_one(spark, _columns(docs)).select(*COLUMNS)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the remaining documents; returns pieces."""
+    """Packs the remaining documents; returns pieces.
+
+    A null or empty text is its end id alone; repeated rows and null ids are
+    packed each; ties in length are dealt by a hash; an empty table gives no
+    pieces; other columns are left out.
+    """
     bound_batches(spark)
     return packed(spark, _columns(docs))
 
