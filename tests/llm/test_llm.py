@@ -736,3 +736,21 @@ def test_pipeline(spark, docs):
     links, root = links_by_brute_force([t for _, t in left])
     assert not any(links)
     check_packing(corpus_pipeline.run(spark, DATA).collect(), left)
+
+
+def test_pipeline_stages_on_odd_rows(spark, odd, docs):
+    """Nulls, empty and very long texts, repeated rows, clashing columns, missing columns and empty tables."""
+    names = corpus_pipeline.COLUMNS
+    given = sorted(map(str, odd.select(*names).collect()))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, odd, DATA)
+        assert kept.columns == names
+        left = sorted(map(str, kept.collect()))
+        assert all(left.count(r) <= given.count(r) for r in left)
+        empty = stage(spark, odd.limit(0), DATA)
+        assert empty.columns == names and empty.count() == 0
+        assert stage(spark, odd.select("doc_id", "text"), DATA).columns == names
+    stay = corpus_pipeline.dedup_stage(spark, odd, DATA).collect()
+    assert len(stay) == len(ODD) - 2 and sum(r["text"] is None or not r["text"].strip() for r in stay) == 3
+    check_packing(corpus_pipeline.packing_stage(spark, odd, DATA).collect(), [(i, t) for i, t in ODD])
+    assert corpus_pipeline.packing_stage(spark, odd.limit(0), DATA).count() == 0
