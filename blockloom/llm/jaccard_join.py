@@ -186,12 +186,18 @@ def _sketched(large: DataFrame, sketches: DataFrame) -> DataFrame:
     return of_set.join(sketches, "rid").select("rid", "sketch", F.explode("live").alias("at")).select("rid", "sketch", "at.*")
 
 
-def _alike(large: DataFrame) -> DataFrame:
-    """``bucket, first, alike``: the least set, and whether the sets are alike on average by the tokens that each shares with it."""
-    large = large.withColumn("sketch", F.slice("sketch", 1, JUDGED))
-    one = large.groupBy("bucket").agg(F.min_by("sketch", "rid").alias("one"), F.min("rid").alias("first"))
-    equal = F.aggregate(F.zip_with("sketch", "one", lambda a, b: (a == b).cast("int")), F.lit(0), lambda n, x: n + x)
-    return large.join(one, "bucket").groupBy("bucket").agg(F.min("first").alias("first"), (F.avg(equal / F.size("one")) >= ALIKE).alias("alike"))
+def _alike(large: DataFrame, width: int) -> DataFrame:
+    """``bucket, first, alike``: the least set, and whether the sets are alike on average by the tokens that each shares with the usual ones.
+
+    The usual token of a coordinate is the commonest among at most ``VOTERS``
+    sets, so no single set that lies far out decides about its bucket.
+    """
+    large = large.withColumn("sketch", F.slice("sketch", 1, width))
+    voters = large.groupBy("bucket", F.pmod(F.xxhash64("rid"), F.lit(VOTERS)).alias("seat")).agg(F.min_by("sketch", "rid").alias("sketch"), F.min("rid").alias("first"))
+    usual = F.array(*[F.mode(F.get("sketch", F.lit(i)), True) for i in range(width)])
+    usual = voters.groupBy("bucket").agg(usual.alias("usual"), F.min("first").alias("first"))
+    equal = F.aggregate(F.zip_with("sketch", "usual", lambda a, b: (a == b).cast("int")), F.lit(0), lambda n, x: n + x)
+    return large.join(usual, "bucket").groupBy("bucket").agg(F.min("first").alias("first"), (F.avg(equal / width) >= ALIKE).alias("alike"))
 
 
 class _Found:
@@ -202,14 +208,14 @@ class _Found:
         self.edges: list[DataFrame] = []
         self.left: DataFrame | None = None
 
-    def settle(self, stage: Stage, found: DataFrame, sketches: DataFrame, name: str, last: bool = False) -> DataFrame | None:
+    def settle(self, stage: Stage, found: DataFrame, sketches: DataFrame, width: int, name: str, last: bool = False) -> DataFrame | None:
         """Sorts the buckets of ``found``; returns those to go on with, with their sketches, or None."""
         self.leaves.append(found.where(F.col("members") <= LEAF).select("rid", "members", "x", "y"))
         large = found.where(F.col("members") > LEAF)
         if large.isEmpty():
             return None
         large = stage.put(_sketched(large.drop("members", "x", "y"), sketches), f"large{name}")
-        large = stage.put(large.join(_alike(large), "bucket"), f"judged{name}")
+        large = stage.put(large.join(_alike(large, min(width, JUDGED)), "bucket"), f"judged{name}")
         whole = F.lit(True) if last else F.col("alike")
         self.edges.append(large.where(whole).select(F.col("rid").alias("a"), F.col("first").alias("b")))
         return None if last else large.where(~whole).drop("first", "alike")
@@ -220,7 +226,7 @@ def _first_round(stage: Stage, reps: DataFrame, runs: int, found: _Found) -> Non
     depth = F.lit(USUAL_DEPTH)
     at = F.explode(F.sequence(F.lit(0), F.lit(runs - 1))).alias("run")
     active = reps.select("rid", "sketch", at).select("rid", F.xxhash64("run", F.slice("sketch", F.col("run") * depth + 1, depth)).alias("bucket"))
-    rest = found.settle(stage, stage.put(_sized(active), "level0"), reps.select("rid", "sketch"), "0")
+    rest = found.settle(stage, stage.put(_sized(active), "level0"), reps.select("rid", "sketch"), runs * USUAL_DEPTH, "0")
     found.left = None if rest is None else rest.select("rid").distinct()
 
 
@@ -242,7 +248,7 @@ def _later_round(stage: Stage, sketches: DataFrame, number: int, runs: int, spli
     root = F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(runs).cast("bigint")))
     active = sketches.withColumn("run", root).select("rid", "run", _child(F.col("run"), F.lit(0), F.col("sketch"), first).alias("bucket"))
     for level in range(splits):
-        large = found.settle(stage, stage.put(_sized(active), f"level{number}_{level}"), sketches, f"{number}_{level}", level == LEVELS - 1)
+        large = found.settle(stage, stage.put(_sized(active), f"level{number}_{level}"), sketches, runs * RUN_COORDS, f"{number}_{level}", level == LEVELS - 1)
         if large is None:
             found.left = None
             return
