@@ -173,8 +173,10 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "op10_revisits",
     r"""
-    WITH bare AS (
-      SELECT page_id, url, html, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS b FROM pages
+    WITH placed AS (
+      SELECT page_id, html, CASE WHEN url IS NOT NULL AND page_id % 3 = 0 THEN 'https://shared.example/' || CAST(page_id % 16 AS VARCHAR) ELSE url END AS url FROM pages
+    ), bare AS (
+      SELECT page_id, url, html, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS b FROM placed
     ), cut AS (
       SELECT page_id, url, md5(coalesce(html, '')) AS digest, CAST(octet_length(encode(coalesce(html, ''))) AS VARCHAR) AS bytes,
              regexp_replace(lower(regexp_extract(b, '^[^/?]*', 0)), ':(80|443)$', '') AS host,
@@ -184,26 +186,28 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
       FROM bare
     ), addressed AS (
       SELECT *, host || path || CASE WHEN len(params) > 0 THEN '?' || array_to_string(params, '&') ELSE '' END AS address FROM cut
+    ), answered AS (
+      SELECT page_id AS of, page_id * 4 AS at, address, digest, bytes, CASE WHEN page_id % 9 = 0 THEN '"edition"' ELSE '"' || digest || '"' END AS etag FROM addressed WHERE page_id % 5 <> 2
     ), asked AS (
-      SELECT a.page_id, a.url, a.address, CASE WHEN page_id % 5 = 0 THEN '"none"' WHEN page_id % 7 = 0 OR page_id % 11 = 0 THEN NULL ELSE '"' || digest || '"' END AS tag,
+      SELECT page_id, url, address, page_id * 4 + CASE WHEN page_id % 13 = 0 THEN 20003 ELSE 3 END AS at,
+             CASE WHEN page_id % 5 = 0 THEN '"none"' WHEN page_id % 7 = 0 OR page_id % 11 = 0 THEN NULL
+                  WHEN page_id % 9 IN (0, 3) THEN '"edition"' ELSE '"' || digest || '"' END AS tag,
              CASE WHEN page_id % 5 <> 0 AND page_id % 7 = 0 THEN CAST(page_id % 28 AS VARCHAR) END AS day
-      FROM addressed a
+      FROM addressed
     ), found AS (
-      SELECT q.*, r.page_id AS of, r.digest, r.bytes
-      FROM asked q LEFT JOIN addressed r ON r.address = q.address AND r.page_id <= q.page_id
-      QUALIFY row_number() OVER (PARTITION BY q.page_id ORDER BY r.page_id DESC) = 1
+      SELECT q.*, r.of, r.digest, r.bytes, r.etag FROM asked q ASOF LEFT JOIN answered r ON r.address = q.address AND r.at <= q.at
     ), judged AS (
       SELECT *, CASE WHEN of IS NULL THEN 'no earlier response'
-                     WHEN tag IS NOT NULL THEN CASE WHEN tag = '"' || digest || '"' THEN 'resolved' ELSE 'validator mismatch' END
+                     WHEN tag IS NOT NULL THEN CASE WHEN tag = etag THEN 'resolved' ELSE 'validator mismatch' END
                      WHEN day IS NOT NULL THEN CASE WHEN day = CAST(of % 28 AS VARCHAR) THEN 'resolved' ELSE 'validator mismatch' END
                      ELSE 'no validator' END AS outcome
       FROM found
     )
-    SELECT page_id * 2 + 1 AS record_id, url, page_id * 4 + 3 AS "at", CASE WHEN outcome = 'resolved' THEN of * 2 END AS refers_to, outcome,
+    SELECT page_id * 2 + 1 AS record_id, url, "at", CASE WHEN outcome = 'resolved' THEN of * 2 END AS refers_to, outcome,
            CASE WHEN outcome = 'resolved' THEN digest END AS payload_digest,
            CASE WHEN outcome = 'resolved' THEN
              'cache-control: max-age=90' || chr(10) || 'content-length: ' || bytes || chr(10) || 'content-type: text/html' || chr(10)
-             || 'etag: ' || CASE WHEN tag IS NULL THEN '"' || digest || '"' ELSE 'W/' || tag END || chr(10)
+             || 'etag: ' || CASE WHEN tag IS NULL THEN etag ELSE 'W/' || tag END || chr(10)
              || 'last-modified: ' || coalesce(day, CAST(of % 28 AS VARCHAR))
            ELSE
              'cache-control: max-age=90' || chr(10) || 'content-length: 0'

@@ -109,24 +109,36 @@ def header_text(headers: Column) -> Column:
 
 
 def records_of_pages(pages: DataFrame) -> DataFrame:
-    """An archive of the pages: each is fetched in full, and asked for again three quarters of a unit on.
-
-    Four units are one page. Of the second answers, those of pages whose
-    number is divisible by 5 hold a tag that no response had, those of
-    other pages divisible by 7 hold only a modification time, and those of
-    other pages divisible by 11 hold no validator.
+    """An archive of the pages: full answers, and later ones that say "not modified".
+
+    Four units of time are one page. Pages whose number is divisible by 3
+    share sixteen addresses. A page's response comes first, but is missing
+    where the number leaves 2 over multiples of 5; its revisit comes three
+    units on, or 20,003 where the number is divisible by 13. So a revisit may
+    meet its own page's response, another page's of any span before, or none.
+
+    Revisits of numbers divisible by 5 hold a tag that no response had, of
+    other numbers divisible by 7 only a modification time, and of others
+    divisible by 11 no validator. Of the rest, those that leave 0 or 3 over
+    multiples of 9 ask for an edition, which responses have that leave 0.
     """
     n, digest = F.col("page_id"), F.md5(F.coalesce("html", F.lit("")).cast("binary"))
     tag, day = F.concat(F.lit('"'), digest, F.lit('"')), (n % 28).cast("string")
+    edition = F.lit('"edition"')
     length = F.octet_length(F.coalesce("html", F.lit(""))).cast("string")
+    shared = F.concat(F.lit("https://shared.example/"), (n % 16).cast("string"))
+    url = F.when(F.col("url").isNotNull() & (n % 3 == 0), shared).otherwise(F.col("url")).alias("url")
 
     def headers(**of: Column) -> Column:
         return F.map_filter(F.create_map(*[x for k, v in of.items() for x in (F.lit(k.replace("_", "-")), v)]), lambda _, v: v.isNotNull())
 
-    first = headers(content_type=F.lit("text/html"), content_length=length, etag=tag, last_modified=day, cache_control=F.lit("max-age=60"))
+    known = F.when(n % 9 == 0, edition).otherwise(tag)
+    first = headers(content_type=F.lit("text/html"), content_length=length, etag=known, last_modified=day, cache_control=F.lit("max-age=60"))
+    wanted = F.when((n % 9).isin(0, 3), edition).otherwise(tag)
     again = headers(
-        etag=F.when(n % 5 == 0, '"none"').when((n % 7 == 0) | (n % 11 == 0), None).otherwise(F.concat(F.lit("W/"), tag)),
+        etag=F.when(n % 5 == 0, '"none"').when((n % 7 == 0) | (n % 11 == 0), None).otherwise(F.concat(F.lit("W/"), wanted)),
         last_modified=F.when((n % 5 != 0) & (n % 7 == 0), day), cache_control=F.lit("max-age=90"), server=F.lit("edge"), content_length=F.lit("0"),
     )
-    full = pages.select((n * 2).alias("record_id"), "url", (n * 4).alias("at"), F.lit("response").alias("kind"), first.alias("headers"), digest.alias("payload_digest"))
-    return full.unionByName(pages.select((n * 2 + 1).alias("record_id"), "url", (n * 4 + 3).alias("at"), F.lit("revisit").alias("kind"), again.alias("headers"), F.lit(None).cast("string").alias("payload_digest")))
+    late = n * 4 + F.when(n % 13 == 0, 20003).otherwise(3)
+    full = pages.where(n % 5 != 2).select((n * 2).alias("record_id"), url, (n * 4).alias("at"), F.lit("response").alias("kind"), first.alias("headers"), digest.alias("payload_digest"))
+    return full.unionByName(pages.select((n * 2 + 1).alias("record_id"), url, late.alias("at"), F.lit("revisit").alias("kind"), again.alias("headers"), F.lit(None).cast("string").alias("payload_digest")))
