@@ -437,18 +437,12 @@ def append_ranges(spark, sf_dir):
     return writing.append_ranges(rows, "source", "doc_id").drop("data")
 
 
-_INDEXED = "r AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS idx, coalesce(text, '') AS text FROM conversations)"
-
-
-@query("indexed_writer_ranges", f"""WITH {_INDEXED} SELECT conv_id, idx AS block_index, CAST(coalesce(sum(octet_length(encode(text))) OVER (PARTITION BY conv_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset",
-    CAST(octet_length(encode(text)) AS BIGINT) AS len FROM r""")
+@query("indexed_writer_ranges", f"""WITH {FILES}, {cut(SMALL)} SELECT file_id, block_index, CAST(block_index * 1024 AS BIGINT) AS "offset", CAST(length(x) // 2 AS BIGINT) AS len FROM b""")
 def indexed_writer_ranges(spark, sf_dir):
-    from pyspark.sql import Window as W
-
-    rows = table(spark, sf_dir, "conversations")
-    numbered = rows.select("conv_id", (F.row_number().over(W.partitionBy("conv_id").orderBy("turn")) - 1).cast("bigint").alias("block_index"), F.coalesce("text", F.lit("")).cast("binary").alias("data"))
-    expected = rows.groupBy("conv_id").agg(F.count("*").alias("block_count"))
-    return writing.indexed(numbered, "conv_id", "block_index", expected).select("conv_id", "block_index", "offset", "len")
+    files = documents(spark, sf_dir)
+    expected = files.select("file_id", F.ceil(blocks.size_of() / SMALL).alias("block_count"))
+    writes = blocks.split(files, SMALL).select("file_id", "block_index", "data")
+    return writing.indexed(writes, "file_id", "block_index", expected).select("file_id", "block_index", "offset", "len")
 
 
 @query("indexed_writer_faults", """SELECT conv_id, CAST(count(*) FILTER (turn >= 2) AS BIGINT) AS out_of_range, CAST(count(turn) - count(DISTINCT turn) AS BIGINT) AS duplicates,
@@ -494,9 +488,10 @@ def dd_records(spark, sf_dir):
     return copying.dd(documents(spark, sf_dir)).drop("content")
 
 
-@query("keep_target_size", """SELECT item_id AS file_id, sha256(encode(text || CASE WHEN octet_length(encode(text)) < 400 THEN repeat('0123456789', 40)[octet_length(encode(text)) + 1:] ELSE '' END)) AS digest FROM benchmark""")
+@query("keep_target_size", """SELECT doc_id AS file_id, sha256(encode(coalesce(text, '') || CASE WHEN octet_length(encode(coalesce(text, ''))) < 400
+    THEN repeat('0123456789', 40)[octet_length(encode(coalesce(text, ''))) + 1:] ELSE '' END)) AS digest FROM documents""")
 def keep_target_size(spark, sf_dir):
-    rows = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("file_id"), F.col("text").cast("binary").alias("content"))
+    rows = documents(spark, sf_dir)
     return rows.select("file_id", F.sha2(copying.keep_target_size(F.col("content"), F.lit(b"0123456789" * 40)), 256).alias("digest"))
 
 
