@@ -91,10 +91,15 @@ def page_checksum(data: bytes, step: int = 4096) -> int:
     return acc
 
 
-@F.pandas_udf(T.StringType())
-def digest_summary(hashes: pd.Series) -> pd.Series:
+def digest_summary(hashes: Column) -> Column:
     """The fold of an ordered array of digests, as 16 hexadecimal digits."""
-    return hashes.map(lambda h: None if h is None else f"{fold_digests(list(h)):016x}")
+    def little_endian(h: Column) -> Column:
+        return F.conv(F.concat(*[F.substring(h, 2 * i + 1, 2) for i in reversed(range(8))]), 16, -10).cast("bigint")
+
+    def step(acc: Column, h: Column) -> Column:
+        return F.shiftleft(acc, 7).bitwiseOR(F.shiftrightunsigned(acc, 57)).bitwiseXOR(little_endian(h))
+
+    return F.lpad(F.lower(F.hex(F.aggregate(hashes, F.lit(0).cast("bigint"), step))), 16, "0")
 
 
 @F.pandas_udf(T.StringType())
