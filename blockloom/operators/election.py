@@ -87,9 +87,10 @@ def witnesses(copies: DataFrame, replicas: DataFrame, is_intact: Column) -> Data
     manifest``. Digests only are shuffled, once, and a block's group holds one
     row for each copy and replica. The position in ``files`` is the copy index.
     """
-    of_copies = copies.select("file_id", F.posexplode("hashes").alias("block_index", "hash"), F.col("copy_index").cast("int").alias("source"), F.lit(None).cast("boolean").alias("intact"))
-    of_replicas = replicas.withColumn("intact", is_intact).select("file_id", F.posexplode("manifest.block_hashes").alias("block_index", "hash"), F.lit(None).cast("int").alias("source"), "intact")
-    seen = of_copies.unionByName(of_replicas).groupBy("file_id", "block_index").agg(
+    # The outer form, since the plain one has Spark infer a filter on the array's size, for which all digests are taken twice.
+    of_copies = copies.select("file_id", F.posexplode_outer("hashes").alias("block_index", "hash"), F.col("copy_index").cast("int").alias("source"), F.lit(None).cast("boolean").alias("intact"))
+    of_replicas = replicas.withColumn("intact", is_intact).select("file_id", F.posexplode_outer("manifest.block_hashes").alias("block_index", "hash"), F.lit(None).cast("int").alias("source"), "intact")
+    seen = of_copies.unionByName(of_replicas).where("block_index is not null").groupBy("file_id", "block_index").agg(
         F.collect_list(F.when(F.col("source").isNotNull(), F.struct("source", "hash"))).alias("c"), F.collect_list(F.when(F.col("source").isNull(), F.struct("hash", "intact"))).alias("manifests"), F.max("source").alias("last"),
     ).where("last is not null")
     by_copy = F.map_from_entries(F.col("c"))

@@ -113,4 +113,4 @@ def mismatched(expected: DataFrame, current: DataFrame) -> DataFrame:
     e, c = F.col("e.manifest"), F.col("c.manifest")
     same = (e["file_size"] == c["file_size"]) & (e["block_size"] == c["block_size"]) & (e["hash_type"] == c["hash_type"]) & (F.size(e["block_hashes"]) == F.size(c["block_hashes"]))
     pairs = expected.alias("e").join(current.alias("c"), "file_id").select("file_id", F.when(same, F.arrays_zip(e["block_hashes"].alias("a"), c["block_hashes"].alias("b"))).otherwise(F.raise_error(F.lit("manifests differ in shape")).cast("array<struct<a:string,b:string>>")).alias("pairs"))
-    return pairs.select("file_id", F.posexplode("pairs").alias("block_index", "p")).where("p.a <> p.b").select("file_id", F.col("block_index").cast("bigint").alias("block_index"))
+    return pairs.select("file_id", F.posexplode_outer("pairs").alias("block_index", "p")).where("p.a <> p.b").select("file_id", F.col("block_index").cast("bigint").alias("block_index"))

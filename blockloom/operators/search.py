@@ -30,7 +30,7 @@ def grep(files: DataFrame, pattern: bytes) -> DataFrame:
     if not pattern:
         return files.select("file_id", F.lit(0).cast("bigint").alias("offset")).limit(0)
     has = F.contains("content", F.lit(pattern))
-    return files.where(has).select("file_id", F.explode(starts(F.col("content"), pattern)).alias("offset"))
+    return files.where(has).select("file_id", F.explode_outer(starts(F.col("content"), pattern)).alias("offset"))
 
 
 def grep_blocks(blocks: DataFrame, pattern: bytes) -> DataFrame:
@@ -49,7 +49,7 @@ def grep_blocks(blocks: DataFrame, pattern: bytes) -> DataFrame:
         "file_id", "block_index", "offset", starts(F.col("data"), pattern).alias("found"), size.cast("bigint").alias("n"),
         F.substring("data", 1, edge).alias("head"), F.substring(F.col("data"), F.greatest(size - edge, F.lit(0)) + 1, F.lit(edge)).alias("tail"),
     )
-    inside = scanned.select("file_id", "offset", F.explode("found").alias("at")).select("file_id", (F.col("offset") + F.col("at")).alias("offset"))
+    inside = scanned.select("file_id", "offset", F.explode_outer("found").alias("at")).where("at is not null").select("file_id", (F.col("offset") + F.col("at")).alias("offset"))
     if edge == 0:
         return inside
     # A block's end and the next one's head meet at their seam: one shuffle of a few bytes, whatever the file's size.
@@ -57,7 +57,7 @@ def grep_blocks(blocks: DataFrame, pattern: bytes) -> DataFrame:
     met = scanned.select("file_id", F.explode(ends).alias("e")).groupBy("file_id", "e.at").agg(*[F.max(f"e.{c}").alias(c) for c in ("offset", "n", "tail", "next")])
     pairs = met.where((F.octet_length("tail") > 0) & (F.octet_length("next") > 0))
     seam = F.octet_length("tail")
-    crossing = pairs.select("file_id", (F.col("offset") + F.col("n") - seam).alias("from"), seam.alias("seam"), F.explode(starts(F.concat("tail", "next"), pattern)).alias("at"))
+    crossing = pairs.select("file_id", (F.col("offset") + F.col("n") - seam).alias("from"), seam.alias("seam"), F.explode_outer(starts(F.concat("tail", "next"), pattern)).alias("at"))
     crossing = crossing.where((F.col("at") < F.col("seam")) & (F.col("at") + len(pattern) > F.col("seam"))).select("file_id", (F.col("from") + F.col("at")).alias("offset"))
     # A match inside a block and one over its seam never begin at one place, so nothing is there twice.
     return inside.unionByName(crossing)
