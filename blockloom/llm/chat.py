@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Stage, only
+from .common import only
 
 #: How a turn is framed.
 OPEN, BREAK, CLOSE = "<|im_start|>", "\n", "<|im_end|>\n"
@@ -31,8 +31,10 @@ def _said() -> Column:
 
 
 def _placed(rows: DataFrame, pair: str) -> DataFrame:
-    """``pair_id, turn, role, text`` of the rows that have a place."""
-    return only(rows, pair, "turn", "role", "text").toDF("pair_id", "turn", "role", "text").where("pair_id is not null and turn is not null")
+    """``pair_id, span, turn, role, text`` of the rows that have a place."""
+    placed = only(rows, pair, "turn", "role", "text").withColumnRenamed(pair, "pair_id").where("pair_id is not null and turn is not null")
+    # What joins by span infer is said here, so that all branches of a plan can share one exchange.
+    return placed.select("pair_id", F.floor(F.col("turn") / SPAN).alias("span"), "turn", "role", "text").where("span is not null")
 
 
 def rendered(said: str, shown: Callable[[Column], Column] | None = None) -> Column:
@@ -47,17 +49,23 @@ def rendered(said: str, shown: Callable[[Column], Column] | None = None) -> Colu
 
 
 def both_sides(chosen: DataFrame, rejected: DataFrame, pair: str = "pair_id", shown: Callable[[Column], Column] | None = None) -> DataFrame:
-    """``pair_id, turn, c, r``: each side's rendered turn, null where it has none; texts are exchanged once.
+    """``pair_id, span, turn, c, r``: each side's rendered turn, null where it has none.
 
-    Rows without a pair or a turn number have no place and are left out; of
-    several rows for a turn the least (role, text) holds; a null role is
+    Texts are exchanged once, by span of turns, which is how segments need
+    them. Rows without a pair or a turn number have no place and are left out;
+    of several rows for a turn the least (role, text) holds; a null role is
     ``unknown`` and a null text empty.
     """
+    return _matched(_placed(chosen, pair), _placed(rejected, pair), shown)
+
+
+def _matched(chosen: DataFrame, rejected: DataFrame, shown: Callable[[Column], Column] | None) -> DataFrame:
+    """``both_sides`` of tables from ``_placed``; where both come dealt by pair and span, nothing is exchanged."""
     none = F.lit(None).cast("struct<role:string,text:string>")
-    every = _placed(chosen, pair).select("pair_id", "turn", _said().alias("c"), none.alias("r"))
-    every = every.unionByName(_placed(rejected, pair).select("pair_id", "turn", none.alias("c"), _said().alias("r")))
-    both = every.groupBy("pair_id", "turn").agg(F.min("c").alias("c"), F.min("r").alias("r"))
-    return both.select("pair_id", "turn", rendered("c", shown).alias("c"), rendered("r", shown).alias("r"))
+    every = chosen.select("pair_id", "span", "turn", _said().alias("c"), none.alias("r"))
+    every = every.unionByName(rejected.select("pair_id", "span", "turn", none.alias("c"), _said().alias("r")))
+    both = every.repartition("pair_id", "span").groupBy("pair_id", "span", "turn").agg(F.min("c").alias("c"), F.min("r").alias("r"))
+    return both.select("pair_id", "span", "turn", rendered("c", shown).alias("c"), rendered("r", shown).alias("r"))
 
 
 def segments_of(both: DataFrame) -> DataFrame:
@@ -69,7 +77,7 @@ def segments_of(both: DataFrame) -> DataFrame:
     def side(name: str) -> list[Column]:
         return [F.col(f"{name}.role").alias(f"{name}_role"), F.col(f"{name}.shown").alias(f"{name}_shown"), F.col(f"{name}.n_chars").alias(f"{name}_n")]
 
-    rows = both.select("pair_id", "turn", F.floor(F.col("turn") / SPAN).alias("span"), (~F.col("c").eqNullSafe(F.col("r"))).alias("differs"), *side("c"), *side("r"))
+    rows = both.select("pair_id", "turn", "span", (~F.col("c").eqNullSafe(F.col("r"))).alias("differs"), *side("c"), *side("r"))
     # The pair's first turn that differs; no row of it means that none does.
     first = rows.where("differs").groupBy("pair_id").agg(F.min("turn").alias("first"))
     same = F.col("first").isNull() | (F.col("turn") < F.col("first"))
@@ -158,16 +166,21 @@ def preference_pairs(segments: DataFrame) -> DataFrame:
 
 
 def other_answers(spark: SparkSession, conversations: DataFrame, shown: Callable[[Column], Column] | None = None) -> DataFrame:
-    """``pair_id, turn, c, r``, as of ``both_sides``: each conversation, and the same with its last assistant turn answered as the next one's.
+    """``pair_id, span, turn, c, r``, as of ``both_sides``: each conversation, and the same with its last assistant turn answered as the next one's.
 
-    A conversation that no next one answers gets an empty text there. Texts
-    are exchanged once, to gather the turns, which are written as rendered.
+    The next conversation's number is greater by one; a conversation that no
+    such one answers gets an empty text there. The rejected conversations are
+    a table of whole texts, matched with the others turn by turn like any two
+    tables; both come from one exchange. Nothing is written, so ``spark`` is
+    kept for callers only.
     """
-    clean = _placed(conversations, "conv_id").groupBy("pair_id", "turn").agg(F.min(_said()).alias("said"))
-    clean = Stage(spark, "chat").put(clean.select("pair_id", "turn", rendered("said", shown).alias("c")), "turns")
-    last = clean.where(F.col("c.role") == TRAINED_ROLE).groupBy("pair_id").agg(F.max_by("c", "turn").alias("c"), F.max("turn").alias("turn"))
-    others = last.select((F.col("pair_id") - 1).alias("pair_id"), F.col("c").alias("other"))
-    nothing = F.struct(F.lit(TRAINED_ROLE).alias("role"), F.lit("").alias("text"))
-    swapped = last.select("pair_id", "turn", nothing.alias("nothing")).join(others, "pair_id", "left")
-    swapped = swapped.select("pair_id", "turn", F.coalesce("other", rendered("nothing", shown)).alias("r"))
-    return clean.join(swapped, ["pair_id", "turn"], "left").select("pair_id", "turn", "c", F.coalesce("r", "c").alias("r"))
+    clean = _placed(conversations, "conv_id").repartition("pair_id", "span").groupBy("pair_id", "span", "turn").agg(F.min(_said()).alias("said"))
+    clean = clean.select("pair_id", "span", "turn", "said.role", "said.text")
+    last = clean.where(F.col("role") == TRAINED_ROLE).groupBy("pair_id").agg(F.max_by("text", "turn").alias("answer"), F.max(F.struct("turn", "span")).alias("at"))
+    # No number is greater than the greatest: null, which answers nobody.
+    asked = last.select("pair_id", "at", F.try_add("pair_id", F.lit(1)).alias("next"))
+    answers = last.select(F.col("pair_id").alias("next"), "answer")
+    swapped = asked.join(answers, "next", "left").select("pair_id", "at.span", F.col("at.turn").alias("last"), F.coalesce("answer", F.lit("")).alias("answer"))
+    other = F.when(F.col("turn") == F.col("last"), F.col("answer")).otherwise(F.col("text"))
+    rejected = clean.join(swapped, ["pair_id", "span"], "left").select("pair_id", "span", "turn", "role", other.alias("text"))
+    return _matched(clean, rejected, shown)

@@ -165,9 +165,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """,
 )
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # Digests of rendered turns are carried in their place, as bytes.
-    both = chat.other_answers(spark, table(spark, sf_dir, "conversations"), lambda rendered: F.unhex(F.sha2(rendered.cast("binary"), 256)))
-    return chat.paired(chat.segments_of(both).withColumn("rendered", F.lower(F.hex("rendered"))))
+    segments = chat.segments_of(chat.other_answers(spark, table(spark, sf_dir, "conversations")))
+    return chat.paired(segments.withColumn("rendered", F.sha2(F.col("rendered").cast("binary"), 256)))
 
 
 @query(

@@ -659,6 +659,36 @@ def test_other_answers_ignore_clashing_names(spark):
     assert got == {(1, 0): ("hi", "hi"), (1, 1): ("one", "two"), (2, 0): ("two", ""), (3, 0): ("no answer", "no answer")}
 
 
+@pytest.mark.parametrize("least", [-3, -(1 << 63)])
+def test_pairs_of_the_query_hold_whole_texts(spark, tmp_path, monkeypatch, least):
+    """op8's segments are texts of two tables matched turn by turn, whatever the conversations' numbers."""
+    most = (1 << 63) - 1
+    rows = [(least, 0, "user", "hi"), (least, 1, "assistant", "least"), (least + 1, 0, "assistant", "second"), (most, 0, "assistant", "greatest")]
+    rows += [(5, t, "assistant" if t % 2 else "user", f"{t}" * (t % 5)) for t in range(1100)] + [(6, 3, "assistant", "é😀"), (6, 3, "assistant", "z"), (6, 4, "user", None), (7, 0, None, "alone")]
+    spark.createDataFrame(rows, TURNS.replace("pair_id", "conv_id")).write.parquet(f"{tmp_path}/conversations.parquet")
+    said = {}
+    for pair, turn, role, text in rows:
+        one = (role or "unknown", text or "")
+        said.setdefault(pair, {})[turn] = min(one, said.get(pair, {}).get(turn, one))
+    last = {pair: max((t for t, (role, _) in turns.items() if role == "assistant"), default=None) for pair, turns in said.items()}
+    want, other = {}, []
+    for pair, turns in said.items():
+        at, following = last[pair], last.get(pair + 1)
+        answer = said[pair + 1][following][1] if following is not None else ""
+        swapped = {t: ("assistant", answer) if t == at else one for t, one in turns.items()}
+        other += [(pair, t, *one) for t, one in swapped.items()]
+        first = min((t for t in turns if turns[t] != swapped[t]), default=1 << 60)
+        show = lambda side, kept: "".join(f"<|im_start|>{role}\n{text}<|im_end|>\n" for t, (role, text) in sorted(side.items()) if kept(t))
+        want[pair] = (show(turns, lambda t: t < first), show(turns, lambda t: t >= first), show(swapped, lambda t: t >= first))
+    seen, of = [], chat.segments_of
+    monkeypatch.setattr(chat, "segments_of", lambda both: seen.append(of(both)) or seen[-1])
+    got = {r["pair_id"]: r for r in queries.QUERIES["op8_preference_format"](spark, str(tmp_path)).collect()}
+    assert {r["pair_id"]: (r["prompt"], r["chosen"], r["rejected"]) for r in chat.preference_pairs(seen[0]).collect()} == want
+    assert {pair: tuple(r[f"{part}_chars"] for part in ("prompt", "chosen", "rejected")) for pair, r in got.items()} == {pair: tuple(map(len, texts)) for pair, texts in want.items()}
+    two = chat.preference_segments(spark.createDataFrame(rows, TURNS), spark.createDataFrame(other, TURNS))
+    assert sorted(map(repr, seen[0].collect())) == sorted(map(repr, two.collect()))
+
+
 def test_long_conversations_are_summed_in_spans(spark):
     rows = [(1, i, "assistant", "x" * (i % 7)) for i in range(3000)]
     other = [(1, 0, "assistant", "y")]
