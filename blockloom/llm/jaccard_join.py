@@ -35,6 +35,7 @@ from __future__ import annotations
 
 import itertools
 import math
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -67,8 +68,11 @@ ROUNDS = (USUAL_DEPTH, 6, LEVELS)
 RUN_COORDS = 32
 _WORDS_KEPT = 200_000
 _CHUNK = 1 << 19
-#: Elements that a comparison holds at once.
+#: Elements that a comparison holds at once, and most columns of their matrix.
 _ELEMENTS = 1 << 22
+_WIDTH = 1 << 14
+#: Which half of a 64-bit integer is the high one in memory.
+_HIGH = int(sys.byteorder == "little")
 
 
 def runs_for(threshold: float, recall: float, depth: int = USUAL_DEPTH) -> int:
@@ -299,26 +303,43 @@ def overlaps(sets: list[np.ndarray], others: list[np.ndarray] | None = None) ->
     out = np.zeros((n, m or n), np.float32)
     passes = max(1, -(-sum(map(len, every)) // _ELEMENTS))
     cuts = np.linspace(0, 1 << 32, passes + 1).astype(np.uint64)
+    held = np.empty((len(every), min(_WIDTH, max(1, _ELEMENTS // max(1, len(every))))), np.float32)
     for low, high in itertools.pairwise(cuts):
         part = every if passes == 1 else [s[np.searchsorted(s, low) : np.searchsorted(s, high)] for s in every]
-        owner = np.repeat(np.arange(len(every)), [len(s) for s in part])
-        _, token, count = np.unique(np.concatenate(part), return_inverse=True, return_counts=True)
-        shared = count[token] > 1
-        _, token = np.unique(token[shared], return_inverse=True)
-        owner = owner[shared]
-        if not len(token):
-            continue
-        order = np.argsort(token, kind="stable")
-        token, owner = token[order], owner[order]
-        width = min(int(token[-1]) + 1, 1 << 14, max(1, (1 << 24) // len(every)))
-        for first in range(0, int(token[-1]) + 1, width):
-            a, b = np.searchsorted(token, [first, first + width])
-            held = np.zeros((len(every), width), np.float32)
-            held[owner[a:b], token[a:b] - first] = 1
-            out += held[:n] @ (held[n:] if m else held).T
+        token, owner = _shared(part)
+        tokens = int(token[-1]) + 1 if len(token) else 0
+        for first in range(0, tokens, held.shape[1]):
+            a, b = np.searchsorted(token, [first, first + held.shape[1]])
+            some = held[:, : min(tokens - first, held.shape[1])]
+            some[:] = 0
+            some[owner[a:b], token[a:b] - first] = 1
+            out += some[:n] @ (some[n:] if m else some).T
     return out
 
 
+def _shared(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The elements that more than one set holds, numbered in order, and whose they are; made in one array of 8 bytes an element, sorted in place."""
+    both = np.empty(sum(map(len, sets)), np.uint64)
+    at = 0
+    for i, s in enumerate(sets):
+        mine = both[at : at + len(s)]
+        mine[:] = s
+        mine <<= np.uint64(32)
+        mine |= np.uint64(i)
+        at += len(s)
+    both.sort()
+    element = both.view(np.uint32)[_HIGH::2]
+    again = element[1:] == element[:-1]
+    keep = np.zeros(len(both), bool)
+    keep[1:] = again
+    keep[:-1] |= again
+    both = both[keep]
+    element, owner = both.view(np.uint32)[_HIGH::2], both.view(np.uint32)[1 - _HIGH :: 2]
+    token = np.zeros(len(both), np.int32)
+    np.cumsum(element[1:] != element[:-1], out=token[1:], dtype=np.int32)
+    return token, owner
+
+
 def _least_connected(near: np.ndarray, label: np.ndarray) -> np.ndarray:
     """The least label of the sets that each is connected with."""
     some = np.flatnonzero(near.any(1))

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -186,6 +187,25 @@ def test_jaccard_join_equals_brute_force(spark, monkeypatch):
     assert sorted(root[r["doc_id"]] for r in kept) == sorted(set(root))
 
 
+def test_overlaps_of_many_long_sets_fit_beside_another_worker(monkeypatch):
+    rng = np.random.default_rng(5)
+    base = np.unique(rng.integers(0, 1 << 32, 16_000, dtype=np.uint64)).astype(np.uint32)
+    sets = [np.unique(np.concatenate([rng.choice(base, 9_000, False), rng.integers(0, 1 << 32, 7_000, dtype=np.uint64).astype(np.uint32)])) for _ in range(128)]
+    total = sum(map(len, sets))
+    tracemalloc.start()
+    found = jaccard_join.overlaps(sets)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 36 * total  # bytes; indices of 64 bits beside the elements took 54 for each
+    for i, j in ((0, 1), (5, 127), (64, 63)):
+        assert found[i, j] == len(np.intersect1d(sets[i], sets[j]))
+    for elements, width in ((1 << 22, 1000), (total // 7, 1 << 14), (100_000, 77)):
+        monkeypatch.setattr(jaccard_join, "_ELEMENTS", elements)
+        monkeypatch.setattr(jaccard_join, "_WIDTH", width, raising=False)
+        assert (jaccard_join.overlaps(sets) == found).all()
+        assert (jaccard_join.overlaps(sets[:50], sets[50:]) == found[:50, 50:]).all()
+
+
 def missed_pairs(splits, runs, coords, fresh, pairs=3000, similarity=0.8):
     """Share of simulated pairs that no run keeps together; the runs share their coordinates unless they are fresh."""
     rng, missed = random.Random(splits), 0
