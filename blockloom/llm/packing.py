@@ -23,6 +23,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import tiktoken
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -35,6 +36,8 @@ WINDOW = 2048
 #: Tokens of a histogram bin, and most rests in a strategy.
 BIN = 32
 DEPTH = 3
+#: Most leftovers whose keys are sent to every task, at some tens of bytes each.
+SENT_KEYS = 500_000
 
 
 def strategies(bins: int, depth: int = DEPTH) -> np.ndarray:
@@ -201,7 +204,7 @@ def pack(
     Null and empty texts are one end id each; repeated rows are packed each,
     as documents of their own; a null id stays null; an empty table has no
     pieces; other columns are ignored. Ids are written once, for rests only,
-    and shuffled once, to the rests that are cut.
+    and shuffled once, for leftovers only unless these exceed ``SENT_KEYS``.
     """
     if window % bin_size:
         raise ValueError("the window must be a multiple of the bin size")
@@ -278,7 +281,7 @@ def pack(
         .where((F.col("g0") < F.col("after")) & (F.col("before") < F.col("g1")))
         .withColumns({"lo": F.greatest("g0", "before"), "hi": F.least("g1", "after")})
         .where(F.floor(F.col("lo") / window) == F.col("chunk"))  # an overlap of two chunks counts once
-        .select("part", "row", "doc_id", "cut", "doc_tokens", "before", "lo", "hi", "sequence_id", (F.col("filled") + F.col("lo") - F.col("g0")).alias("offset"))
+        .select("part", "row", "before", "lo", "hi", "sequence_id", (F.col("filled") + F.col("lo") - F.col("g0")).alias("offset"))
     )
     behind = F.greatest(F.col("before"), F.lit(room)) - room
     edge = F.col("w") * window + room
@@ -286,27 +289,38 @@ def pack(
         line.where(F.col("after") > room)
         .withColumn("w", F.explode(F.sequence(F.floor(behind / window), F.floor((F.col("after") - 1 - room) / window))))
         .withColumns({"lo": F.greatest(F.col("before"), F.lit(room), edge), "hi": F.least(F.col("after"), edge + window)})
-        .select("part", "row", "doc_id", "cut", "doc_tokens", "before", "lo", "hi", (F.col("w") + end).alias("sequence_id"), (F.col("lo") - edge).alias("offset"))
+        .select("part", "row", "before", "lo", "hi", (F.col("w") + end).alias("sequence_id"), (F.col("lo") - edge).alias("offset"))
     )
     top = max(end_id, _encoder(ranks_path, pattern, tuple(sorted(special.items()))).max_token_value)
     kept = _kept(top)
 
     def sums_of(rows):
-        for batch in rows:
+        for batch in batches(rows, 2_000_000, "ids"):
+            lists = batch.column("pieces")
+            of, flat = pc.list_parent_indices(lists), pc.list_flatten(lists)
+            ids = batch.column("ids").to_pylist()
             crcs = [
-                zlib.crc32(np.frombuffer(ids, kept)[a : a + n].astype("<u4"))
-                for ids, a, n in zip(batch.column("ids").to_pylist(), batch.column("from").to_pylist(), batch.column("length").to_pylist(), strict=True)
+                zlib.crc32(np.frombuffer(ids[i], kept)[a : a + n].astype("<u4"))
+                for i, a, n in zip(of.to_pylist(), flat.field("from").to_pylist(), flat.field("length").to_pylist(), strict=True)
             ]
-            i = batch.schema.get_field_index("ids")
-            yield batch.remove_column(i).append_column("crc", pa.array(crcs, pa.int64()))
+            names = ["doc_id", "cut", "doc_tokens"], ["from", "length", "sequence_id", "offset"]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(n).take(of) for n in names[0]] + [flat.field(n) for n in names[1]] + [pa.array(crcs, pa.int64())], names=[*names[0], *names[1], "crc"]
+            )
 
+    # One row for each leftover, which has at most a piece for each of its ids.
     pieces = into_gaps.unionByName(into_new).select(
-        "part", "row", "doc_id", "cut", (F.col("lo") - F.col("before")).cast("int").alias("from"), (F.col("hi") - F.col("lo")).alias("length"), "doc_tokens", "sequence_id", "offset"
-    )
+        "part", "row", F.struct((F.col("lo") - F.col("before")).cast("int").alias("from"), (F.col("hi") - F.col("lo")).alias("length"), "sequence_id", "offset").alias("piece")
+    ).groupBy("part", "row").agg(F.collect_list("piece").alias("pieces"))
     kind = docs.schema[id_col].dataType.simpleString()
-    rests = cuts.where(size < window).select("part", "row", "ids")
+    rests = cuts.where(size < window).select("part", "row", "doc_id", "cut", "doc_tokens", "ids")
+    # Few rests are left over, so the others' ids need no exchange. A hash is a smaller key than
+    # both columns; the join below is exact, and does alone if the leftovers are too many to send.
+    if line.count() <= SENT_KEYS:
+        key = F.xxhash64("part", "row").alias("key")
+        rests = rests.select("*", key).join(F.broadcast(line.select(key)), "key", "left_semi").drop("key")
     cut_again = pieces.join(rests, ["part", "row"]).drop("part", "row").mapInArrow(
-        sums_of, f"doc_id {kind}, cut bigint, from int, length bigint, doc_tokens bigint, sequence_id bigint, offset bigint, crc bigint"
+        sums_of, f"doc_id {kind}, cut bigint, doc_tokens bigint, from int, length bigint, sequence_id bigint, offset bigint, crc bigint"
     )
     return whole.unionByName(cut_again).select(
         "doc_id", (F.col("cut") * window + F.col("from")).cast("bigint").alias("start"), F.col("length").cast("bigint").alias("length"),

@@ -592,6 +592,35 @@ def test_packing_of_very_long_runs(spark):
     check_packing(queries.packed(spark, spark.createDataFrame(rows, "doc_id bigint, text string")).collect(), rows)
 
 
+def exchanged(node, column):
+    """Rows that the exchanges below a node of an executed plan wrote, of those with the column."""
+    kind = node.getClass().getSimpleName()
+    if kind == "AdaptiveSparkPlanExec":
+        return exchanged(node.executedPlan(), column)
+    if kind.endswith("QueryStageExec"):
+        return exchanged(node.plan(), column)
+    own = kind == "ShuffleExchangeExec" and any(node.output().apply(i).name() == column for i in range(node.output().size()))
+    below = node.children()
+    return own * (node.metrics().apply("shuffleRecordsWritten").value() if own else 0) + sum(exchanged(below.apply(i), column) for i in range(below.size()))
+
+
+@pytest.mark.parametrize("keys", [500_000, 0])
+def test_packing_exchanges_the_ids_of_leftovers_only(spark, monkeypatch, keys):
+    """Pairs of half windows need no cut; the ids of few documents do, unless their keys are too many to send."""
+    monkeypatch.setattr(packing, "SENT_KEYS", keys, raising=False)
+    rows = [(i, " a" * 1023) for i in range(300)] + [(1000 + i, " a" * (100 + 7 * i)) for i in range(5)]
+    limit = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, "-1")  # so small a table would be sent whole
+    try:
+        df = queries.packed(spark, spark.createDataFrame(rows, "doc_id bigint, text string"))
+        check_packing(df.collect(), rows)
+    finally:
+        spark.conf.set(limit, before)
+    n = exchanged(df._jdf.queryExecution().executedPlan(), "ids")
+    assert (0 < n <= 5) if keys else n == len(rows)
+
+
 def test_least_squares():
     rng = np.random.default_rng(1)
     for _ in range(20):
