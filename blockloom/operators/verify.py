@@ -12,17 +12,26 @@ FIELDS = ", ".join(f.replace(" ", ":") for f in MANIFEST.split(", "))
 
 
 def _judged(current: DataFrame, replicas: DataFrame, unit: int, is_intact: Column | None) -> DataFrame:
-    """A row for each block, or one without a block for an empty file, with what its file says."""
+    """A row for each block, or one without a block for an empty file, with what its file says.
+
+    What the manifests say of a block is looked up inside the file's row, before blocks become
+    rows. Otherwise every block would carry all digests of its file.
+    """
     good = intact_sha256(F.col("manifest"), unit) if is_intact is None else is_intact
     m, none = F.col("manifest"), F.array().cast(f"array<struct<manifest:struct<{FIELDS}>,intact:boolean>>")
+    no_votes = F.array().cast("array<struct<hash:string,intact:boolean>>")
+
+    def of_block(h: Column, i: Column) -> Column:
+        fine = F.coalesce(F.get("agreed.block_hashes", i) == h, F.lit(False))
+        votes = F.filter(F.transform(F.coalesce("all", none), lambda r: F.struct(F.get(r["manifest"]["block_hashes"], i).alias("hash"), r["intact"].alias("intact"))), lambda x: x["hash"].isNotNull())
+        return F.struct(h.alias("hash"), fine.alias("fine"), F.when(fine, no_votes).otherwise(votes).alias("votes"))
+
+    of_file = ["bytes_hashed", "file_size", "loaded_manifests", "expected_size"]
     rows = current.join(summary(replicas, good), "file_id", "left").select(
         "file_id", m["bytes_hashed"].alias("bytes_hashed"), m["file_size"].alias("file_size"), F.coalesce("loaded", F.lit(0)).cast("bigint").alias("loaded_manifests"), F.col("agreed.file_size").alias("expected_size"),
-        F.posexplode_outer(m["block_hashes"]).alias("block_index", "current_hash"), F.col("agreed.block_hashes").alias("expected"), F.coalesce("all", none).alias("all"),
+        F.posexplode_outer(F.transform(m["block_hashes"], of_block)).alias("block_index", "b"),
     )
-    at, of_file = F.col("block_index"), ["bytes_hashed", "file_size", "loaded_manifests", "expected_size"]
-    fine = F.coalesce(F.get("expected", at) == F.col("current_hash"), F.lit(False))
-    votes = F.filter(F.transform("all", lambda r: F.struct(F.get(r["manifest"]["block_hashes"], at).alias("hash"), r["intact"].alias("intact"))), lambda x: x["hash"].isNotNull())
-    rows = rows.select("file_id", *of_file, at.cast("bigint").alias("block_index"), "current_hash", fine.alias("fine"), F.array("current_hash").alias("files"), F.when(fine, F.array().cast("array<struct<hash:string,intact:boolean>>")).otherwise(votes).alias("manifests"))
+    rows = rows.select("file_id", *of_file, F.col("block_index").cast("bigint").alias("block_index"), F.col("b.hash").alias("current_hash"), F.coalesce("b.fine", F.lit(False)).alias("fine"), F.array("b.hash").alias("files"), F.coalesce("b.votes", no_votes).alias("manifests"))
     elected = F.coalesce((F.col("elected_hash") == F.col("current_hash")) & (F.col("repair_source_index") == 0), F.lit(False))
     return election.decide(rows).withColumn("block_ok", F.col("fine") | elected)
 

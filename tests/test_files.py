@@ -341,3 +341,67 @@ def test_writer_handles(spark, tmp_path):
     with api.SequentialWriter(path, append=True) as w:
         assert w.append(b"d") == 3
     assert api.read_file(path) == b"abcd"
+
+
+def chain(n: int) -> list[bytes]:
+    """Different blocks."""
+    return [i.to_bytes(4, "little") * 1024 for i in range(n)]
+
+
+def test_verified_blocks_do_not_carry_the_manifests_of_their_file(spark, tmp_path):
+    """A block's row holds what the manifests say of this block, so it does not grow with the file."""
+    import hashlib
+
+    from blockloom.operators import manifests, verify
+
+    path, blocks = str(tmp_path / "many"), chain(300)
+    api.write_file(path, b"".join(blocks))
+    made = api.hash_file(spark, path, "sha256", 4096)
+    bad = range(0, 300, 4)
+    for i in bad:
+        damage(path, i * 4096 + 9)
+    shape = f"struct<{manifests.MANIFEST.replace(' ', ':').replace(',:', ',')}>"
+    now = spark.createDataFrame([(0, api.open_file(spark, path).manifest("sha256", 4096))], f"file_id bigint, manifest {shape}")
+    stored = spark.createDataFrame([(0, i, made) for i in range(3)], f"file_id bigint, replica int, manifest {shape}")
+
+    def generators(node) -> list:
+        children = node.children()
+        return [node] * (node.nodeName() == "Generate") + [g for i in range(children.size()) for g in generators(children.apply(i))]
+
+    for frame in (verify.verify_report(now, stored), verify.verify_blocks(now, stored)):
+        found = generators(frame._jdf.queryExecution().optimizedPlan())
+        carried = [g.requiredChildOutput().apply(i).dataType().simpleString() for g in found for i in range(g.requiredChildOutput().size())]
+        assert found and set(carried) <= {"bigint", "int"}
+    report = api.verify_file(spark, path)
+    assert (report.total_blocks, report.ok_blocks, report.size_matches) == (300, 225, True)
+    assert [b["block_index"] for b in report.bad_blocks] == list(bad)
+    flipped = [b[:9] + bytes(x ^ 0xFF for x in b[9:13]) + b[13:] for b in blocks]
+    assert all(b["current_hash"] == hashlib.sha256(flipped[b["block_index"]]).hexdigest() and b["elected_hash"] == made["block_hashes"][b["block_index"]] for b in report.bad_blocks)
+
+
+def test_a_whole_file_digest_shuffles_nothing(spark, target, monkeypatch):
+    """Else all bytes of a file are sorted in one task."""
+    import hashlib
+
+    def refused(*_):
+        raise AssertionError("blocks are dealt out")
+
+    monkeypatch.setattr(type(spark.range(0)), "repartition", refused)
+    assert api.digest_file(spark, target, block_size=4096) == hashlib.sha256(pattern(40_000)).hexdigest()
+    assert api.digest_file(spark, target, "blake3", 4096) == blake3.blake3_hex(pattern(40_000))
+
+
+def test_batches_of_blocks_are_small(spark, tmp_path):
+    """Workers that read and workers that write hold a batch each, and stay."""
+    import pyarrow as pa
+
+    path, block = str(tmp_path / "long"), 1 << 16
+    api.write_file(path, b"")
+    os.truncate(path, 20 << 20)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"bytes": pa.array([b.nbytes], pa.int64())})
+
+    found = [r["bytes"] for r in api.open_file(spark, path, block).blocks().select("data").mapInArrow(sizes, "bytes bigint").collect()]
+    assert sum(found) >= 20 << 20 and max(found) <= (4 << 20) + 2 * block
